@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import topk
+from prevspark.llm import simhash, topk
 from prevspark.llm.common import table
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest rows by integer inner product of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {"op7_topk": op7_topk}
+QUERIES = {
+    "op5_simhash": op5_simhash,
+    "op7_topk": op7_topk,
+}
 
 ORACLES = {
     "op7_topk": """
