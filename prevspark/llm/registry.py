@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import simhash, topk
+from prevspark.llm import simhash, tokens, topk
 from prevspark.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary; read from where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from wavelet-matrix shards."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -21,6 +33,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_wavelet_tokens": op1_wavelet_tokens,
     "op5_simhash": op5_simhash,
     "op7_topk": op7_topk,
 }
