@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import simhash, tokens, topk
+from prevspark.llm import simhash, tokens, topk, toxicity
 from prevspark.llm.common import table
 
 
@@ -32,10 +32,16 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by compression distance."""
+    return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op5_simhash": op5_simhash,
     "op7_topk": op7_topk,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLES = {
