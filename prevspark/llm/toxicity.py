@@ -22,6 +22,8 @@ from prevspark.llm.common import own_name
 
 #: Words of a window, and bytes saved from which a window counts as a hit.
 WORDS, HIT = 1, 3
+#: Twice the log-likelihood ratio that a telling opening reaches.
+SURPRISE = 15.0
 #: Least and largest bytes of a word's opening, the space before it included.
 OPENING = (4, 14)
 #: Share of the toxic documents that have a telling opening, at least.
@@ -31,6 +33,9 @@ TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 8192, 32_768, 60_000
 #: Bounds of the training sample: documents of each class, bytes of each class, bytes of a document.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = {0: 6000, 1: 3000}, 20_000_000, 1 << 18
 LEVEL = 3
+#: Bytes of the ordinary dictionary that follow each window: with them the compressor is past its headers and its least
+#: gain, and looks for matches up to the window's end.
+PAD = 48
 #: Windows whose gains a worker remembers.
 REMEMBERED = 400_000
 
@@ -80,7 +85,9 @@ def telling(texts: list[str], toxic: np.ndarray) -> list[bytes]:
     found = {}
     for opening, n in often.items():
         odds = np.log((n + 0.5) / n1) - np.log((plain[opening] + 0.5) / n0)
-        if odds > 2.5 and odds > 3.0 * np.sqrt(1 / (n + 0.5) + 1 / (plain[opening] + 0.5)):
+        both = n + plain[opening]
+        surprise = 2 * sum(x * np.log(x * (n0 + n1) / (both * m)) for x, m in ((n, n1), (plain[opening], n0)) if x)
+        if odds > 2.5 and surprise > SURPRISE:
             found[opening] = n
     goes_on = {o[:-1] for o, n in found.items() if 5 * n >= 4 * found.get(o[:-1], 0)}
     kept = found.keys() - goes_on
@@ -136,6 +143,8 @@ class Gains:
             )
             for raw in (model.ordinary, model.ordinary + model.toxic)
         ]
+        middle = len(model.ordinary) // 2
+        self.pad = model.ordinary[middle : middle + PAD]
         self.known: dict[bytes, int] = {}
 
     def __call__(self, pieces: list[bytes]) -> np.ndarray:
@@ -144,7 +153,7 @@ class Gains:
         new = list(set(pieces).difference(self.known))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            plain, toxic = (c.multi_compress_to_buffer(part) for c in self.pair)
+            plain, toxic = (c.multi_compress_to_buffer([w + self.pad for w in part]) for c in self.pair)
             self.known.update((w, len(plain[i]) - len(toxic[i])) for i, w in enumerate(part))
         return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
