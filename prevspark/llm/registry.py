@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import simhash, tokens, topk, toxicity
+from prevspark.llm import decontaminate, simhash, tokens, topk, toxicity
 from prevspark.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, whole or edited, with the item and the alignment's score."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five nearest rows by integer inner product of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -40,6 +45,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op7_topk": op7_topk,
     "op8_toxicity": op8_toxicity,
 }

@@ -2,7 +2,7 @@
 
 The toxic dictionary is trained on the words of toxic documents that hold byte runs which ordinary documents lack, the
 ordinary one on windows of ordinary documents. Each window of a text is compressed with both; a document's largest gains and
-their number enter a logistic curve. That curve is calibrated on gains of documents whose own fold trained no dictionary.
+their number enter a logistic curve. That curve is calibrated on labelled documents that trained no dictionary.
 """
 
 from __future__ import annotations
@@ -32,10 +32,14 @@ SUPPORT = 0.015
 TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 8192, 32_768, 60_000
 #: Bounds of the training sample: documents of each class, bytes of each class, bytes of a document.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = {0: 6000, 1: 3000}, 20_000_000, 1 << 18
-LEVEL = 3
-#: Bytes of the ordinary dictionary that follow each window: with them the compressor is past its headers and its least
-#: gain, and looks for matches up to the window's end.
-PAD = 48
+#: Ends both dictionaries and every window: the compressor does not look for matches in the last bytes of either, and with a
+#: match in every window it is past its headers and its least gain.
+TAIL, PAD = b"\n" * 64, b"\n" * 40
+#: Tables that hold every place of the dictionaries: gains are of a few bytes.
+SHAPE = {
+    "window_log": 17, "hash_log": 17, "chain_log": 17, "search_log": 3, "min_match": 4, "target_length": 16,
+    "strategy": zstandard.STRATEGY_LAZY, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
+}
 #: Windows whose gains a worker remembers.
 REMEMBERED = 400_000
 
@@ -131,20 +135,15 @@ class Gains:
     """Bytes by which the toxic dictionary compresses a window better; a worker remembers the windows that it has met."""
 
     def __init__(self, model: Model):
-        shape = zstandard.ZstdCompressionParameters.from_level(
-            LEVEL, source_size=64, dict_size=ORDINARY_BYTES, min_match=3,
-            write_content_size=False, write_checksum=False, write_dict_id=False,
-        )
-        # the toxic words follow the ordinary text, so that a window without them compresses alike
+        shape = zstandard.ZstdCompressionParameters(**SHAPE)
+        # the same text begins and ends both, so that a window without toxic words compresses alike
         self.pair = [
             zstandard.ZstdCompressor(
                 dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                 compression_params=shape,
             )
-            for raw in (model.ordinary, model.ordinary + model.toxic)
+            for raw in (model.ordinary + TAIL, model.ordinary + model.toxic + TAIL)
         ]
-        middle = len(model.ordinary) // 2
-        self.pad = model.ordinary[middle : middle + PAD]
         self.known: dict[bytes, int] = {}
 
     def __call__(self, pieces: list[bytes]) -> np.ndarray:
@@ -153,7 +152,7 @@ class Gains:
         new = list(set(pieces).difference(self.known))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            plain, toxic = (c.multi_compress_to_buffer([w + self.pad for w in part]) for c in self.pair)
+            plain, toxic = (c.multi_compress_to_buffer([w + PAD for w in part]) for c in self.pair)
             self.known.update((w, len(plain[i]) - len(toxic[i])) for i, w in enumerate(part))
         return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
 
@@ -170,7 +169,7 @@ class Gains:
 def dictionaries(texts: list[str], toxic: np.ndarray) -> Model:
     told = telling(texts, toxic)
     words = Counter(w for t, y in zip(texts, toxic.tolist()) if y for w in set(windows(t, 1)))
-    words = sorted((n, w) for w, n in words.items() if n > 1 and any(w.startswith(o) for o in told))
+    words = sorted((n, w) for w, n in words.items() if n > 1 and w.startswith(tuple(told)))
     # content-only: words that open so, the most frequent nearest to the text that follows, then what they open with
     content = b"".join([w for _, w in words] + told)[-TOXIC_BYTES:]
     plain = [w for t, y in zip(texts, toxic.tolist()) if not y for w in windows(t, 6)]
@@ -195,30 +194,24 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
 
 
 def fit(sample: list[tuple[str, int]]) -> Model:
-    """Dictionaries from the whole sample; the curve from gains across two folds.
+    """Dictionaries from two thirds of the sample, and the curve from the gains of the rest under those dictionaries.
 
     Without both classes there is nothing to compare: the score is the share of toxic labels, 0 without labels.
     """
     texts, toxic = [t for t, _ in sample], np.array([y for _, y in sample], dtype=np.int64)
     if len(set(toxic.tolist())) < 2:
         return Model(share=float(toxic.mean()) if len(toxic) else 0.0)
-    fold = np.zeros(len(texts), dtype=np.int64)
-    for y in (0, 1):  # both classes in both folds, as far as there are two of each
-        fold[toxic == y] = np.arange((toxic == y).sum()) % 2
-    x, known = np.zeros((len(texts), 5)), np.zeros(len(texts), dtype=bool)
-    for f in (0, 1):
-        own = fold == f
-        other = np.flatnonzero(~own)
-        if len(set(toxic[own].tolist())) < 2 or not len(other):
-            continue
-        gains = Gains(dictionaries([texts[i] for i in np.flatnonzero(own)], toxic[own]))
-        x[other] = [gains.features(texts[i]) for i in other]
-        known[other] = True
-    model = dictionaries(texts, toxic)
-    if not known.any():
-        gains = Gains(model)
-        x, known = np.array([gains.features(t) for t in texts]), np.ones(len(texts), dtype=bool)
-    model.weights = tuple(logistic(x[known], toxic[known].astype(float)).tolist())
+    rest = np.zeros(len(texts), dtype=bool)
+    for y in (0, 1):  # both classes in both parts, as far as there are enough of each
+        rest[toxic == y] = np.arange((toxic == y).sum()) % 3 == 2
+    if len(set(toxic[rest].tolist())) < 2:
+        rest[:] = True
+        model = dictionaries(texts, toxic)
+    else:
+        model = dictionaries([t for t, r in zip(texts, rest.tolist()) if not r], toxic[~rest])
+    gains = Gains(model)
+    x = np.array([gains.features(t) for t, r in zip(texts, rest.tolist()) if r])
+    model.weights = tuple(logistic(x, toxic[rest].astype(float)).tolist())
     return model
 
 
