@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import decontaminate, mixing, simhash, tokens, topk, toxicity
+from prevspark.llm import decontaminate, mixing, sharding, simhash, tokens, topk, toxicity
 from prevspark.llm.common import table
 
 
@@ -47,6 +47,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document, by virtual slots and their bytes."""
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op4_mix": op4_mix,
@@ -54,6 +59,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_topk": op7_topk,
     "op8_toxicity": op8_toxicity,
+    "op10_shard": op10_shard,
 }
 
 ORACLES = {
