@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import decontaminate, mixing, sharding, simhash, tokens, topk, toxicity
+from prevspark.llm import chat, decontaminate, mixing, sharding, simhash, tokens, topk, toxicity
 from prevspark.llm.common import table
 
 
@@ -21,6 +21,14 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that quotes the template, formatted and read back."""
+    quoted = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    return chat.round_trip(rows.unionByName(extra))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
@@ -54,6 +62,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op2_chat": op2_chat,
     "op4_mix": op4_mix,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
