@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import chat, decontaminate, mixing, sharding, simhash, tokens, topk, toxicity
+from prevspark.llm import chat, decontaminate, mixing, secrets, sharding, simhash, tokens, topk, toxicity
 from prevspark.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.round_trip(rows.unionByName(extra))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.mixture(table(spark, sf_dir, "documents"))
@@ -63,6 +68,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_chat": op2_chat,
+    "op3_secrets": op3_secrets,
     "op4_mix": op4_mix,
     "op5_simhash": op5_simhash,
     "op6_decontaminate": op6_decontaminate,
