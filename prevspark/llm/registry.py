@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prevspark.llm import chat, decontaminate, mixing, secrets, sharding, simhash, tokens, topk, toxicity
+from prevspark.llm import chat, decontaminate, lines, mixing, secrets, sharding, simhash, tokens, topk, toxicity
 from prevspark.llm.common import table
 
 
@@ -60,6 +60,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat or nearly repeat an earlier line."""
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document, by virtual slots and their bytes."""
     return sharding.sharded(table(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_topk": op7_topk,
     "op8_toxicity": op8_toxicity,
+    "op9_lines": op9_lines,
     "op10_shard": op10_shard,
 }
 

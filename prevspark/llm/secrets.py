@@ -39,7 +39,7 @@ ENCODINGS = [
 #: Chance that two, or three, letters of a text are the same.
 TEXT_PAIR, TEXT_TRIPLE = 0.066, 0.0055
 #: Level of the battery below which a candidate is not random; false discovery rate; bins of the histogram per halving of p.
-LEVEL, RATE, BINS, LAST_BIN = 1e-2, 1e-3, 8, 4096
+LEVEL, RATE, BINS, LAST_BIN = 1e-2, 0.05, 8, 4096
 #: Entries that a running sum adds up at a time.
 STRIDE = 64
 
