@@ -76,7 +76,9 @@ def ovr(M: np.ndarray, p_trn: np.ndarray, q: Column) -> Column:
     """One-versus-rest adjustment by each class's true and false positive rate."""
     tpr = np.diag(M)
     fpr = (1 - tpr * p_trn) / (1 - p_trn)
-    return clip_and_normalize(F.zip_with(F.zip_with(q, vector(fpr), lambda x, f: x - f), vector(tpr - fpr), lambda x, d: x / d))
+    gap = F.zip_with(q, vector(fpr), lambda x, f: x - f)
+    limit = lambda x: F.when(x == 0, float("nan")).otherwise(F.signum(x) * float("inf"))
+    return clip_and_normalize(F.zip_with(gap, vector(tpr - fpr), lambda x, d: F.coalesce(F.try_divide(x, d), limit(x))))
 
 
 def svd_weights(q: Column, n: Column) -> Column:

@@ -1,4 +1,554 @@
-"""The engine's named queries and their DuckDB oracles."""
+"""The engine's named queries over the standard tables, with DuckDB SQL for each that SQL can express.
 
-QUERIES = {}
-ORACLES = {}
+Two tasks serve them. *Languages*: a document's language (de, en, es, fr), told by its accented letters, per source.
+*Quantities*: the band of a line item's quantity, unfolded from quantity times (1 - discount), trained on finished lines
+(status F) and estimated for the open ones of each supplier.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prevspark.functions import expressions as E
+from prevspark.functions import metrics as M
+from prevspark.operators import methods as Q
+from prevspark.operators import protocols as P
+from prevspark.operators.classifiers import SqlScorer
+from prevspark.operators.transformers import ENTRIES, LABEL, ClassTransformer, HistogramTransformer
+from prevspark.plans import evaluate as V
+
+BINS, STEPS = 10, 20
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# the language task
+
+CLASSES = "CASE WHEN regexp_like(text, '[äöüß]') THEN 0 WHEN regexp_like(text, '[ñíó¿¡]') THEN 2 WHEN regexp_like(text, '[éèêàç]') THEN 3 ELSE 1 END"
+POSTERIOR = f"transform(array(0, 1, 2, 3), c -> CASE WHEN c = {CLASSES} THEN 0.85D ELSE 0.05D END)"
+LANG = SqlScorer(POSTERIOR, 4)
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, label, text): label 0 to 3 in order of the language's code."""
+    docs = table(spark, sf_dir, "documents")
+    label = F.array_position(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")]), F.col("lang")).cast("int") - 1
+    return docs.select("doc_id", "source", label.alias("label"), "text")
+
+
+LANG_SQL = """WITH d AS (
+  SELECT source, CAST(list_position(['de', 'en', 'es', 'fr'], lang) - 1 AS INTEGER) AS label,
+    CASE WHEN regexp_matches(text, '[äöüß]') THEN 0 WHEN regexp_matches(text, '[ñíó¿¡]') THEN 2
+      WHEN regexp_matches(text, '[éèêàç]') THEN 3 ELSE 1 END AS said
+  FROM documents
+), k AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS class),
+s AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+q AS (SELECT s.source, k.class, count(d.said) * 1.0 / any_value(s.n) AS q
+  FROM s CROSS JOIN k LEFT JOIN d ON d.source = s.source AND d.said = k.class GROUP BY s.source, k.class),
+m AS (SELECT a.class AS f, b.class AS c, count(d.said) * 1.0 / (SELECT count(*) FROM d WHERE label = b.class) AS m
+  FROM k a CROSS JOIN k b LEFT JOIN d ON d.said = a.class AND d.label = b.class GROUP BY a.class, b.class),
+t AS (SELECT label AS class, count(*) * 1.0 / (SELECT count(*) FROM d) AS p_trn FROM d GROUP BY label)
+"""
+
+
+def long(found: DataFrame, bag: str, digits: int = 6) -> DataFrame:
+    """(bag, class, p) of estimates, rounded."""
+    return found.select(bag, F.posexplode("p").alias("class", "p")).withColumn("p", F.round("p", digits))
+
+
+@query(LANG_SQL + "SELECT source, class, round(q, 6) AS p FROM q")
+def cc(spark, sf_dir):
+    """Classify and count."""
+    rows = languages(spark, sf_dir)
+    return long(Q.CC(LANG).fit(rows).transform(rows, "source"), "source")
+
+
+@query(LANG_SQL + "SELECT source, class, round(0.05 + 0.8 * q, 6) AS p FROM q")
+def pcc(spark, sf_dir):
+    """Average posteriors."""
+    rows = languages(spark, sf_dir)
+    return long(Q.PCC(LANG).fit(rows).transform(rows, "source"), "source")
+
+
+@query(LANG_SQL + """, r AS (
+  SELECT q.source, q.class, (1 - m.m * p_trn) / (1 - p_trn) AS fpr, m.m AS tpr, q.q
+  FROM q JOIN m ON m.f = q.class AND m.c = q.class JOIN t ON t.class = q.class
+), x AS (SELECT source, class, greatest(0.0, least(1.0, (q - fpr) / (tpr - fpr))) AS p FROM r)
+SELECT source, class, round(p / sum(p) OVER (PARTITION BY source), 6) AS p FROM x""")
+def acc_ovr(spark, sf_dir):
+    """One-versus-rest adjustment."""
+    rows = languages(spark, sf_dir)
+    return long(Q.ACC(LANG, strategy="ovr").fit(rows).transform(rows, "source"), "source")
+
+
+@query(LANG_SQL + "SELECT CAST(f AS INTEGER) AS f, CAST(c AS INTEGER) AS c, round(m, 6) AS m FROM m WHERE m > 0")
+def crisp_argmax(spark, sf_dir):
+    """Transfer matrix of the crisp language predictions."""
+    _, rows = ClassTransformer(LANG).fit(languages(spark, sf_dir), "label")
+    cells = rows.groupBy(F.col(ENTRIES)[0]["f"].alias("f"), F.col(LABEL).alias("c")).count()
+    total = F.sum("count").over(window_over("c"))
+    return cells.select("f", "c", F.round(F.col("count") / total, 6).alias("m"))
+
+
+def window_over(*by: str):
+    from pyspark.sql import Window
+
+    return Window.partitionBy(*by)
+
+
+@query(LANG_SQL + "SELECT class, round(p_trn, 6) AS p FROM t")
+def p_trn(spark, sf_dir):
+    """Class shares of the training rows."""
+    rows = languages(spark, sf_dir).groupBy(F.col("label").alias("class")).count()
+    everything = window_over()
+    return rows.select("class", F.round(F.col("count") / F.sum("count").over(everything), 6).alias("p"))
+
+
+BINARY = SqlScorer("CASE WHEN regexp_like(text, '[äöüßñíó¿¡éèêàç]') THEN array(0.0D, 1.0D) ELSE array(1.0D, 0.0D) END", 2)
+
+
+@query("""WITH d AS (
+  SELECT source, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS y, CASE WHEN regexp_matches(text, '[äöüßñíó¿¡éèêàç]') THEN 1 ELSE 0 END AS said FROM documents
+), m AS (SELECT avg(CASE WHEN y = 0 THEN 1.0 - said END) AS a, avg(CASE WHEN y = 1 THEN 1.0 - said END) AS b FROM d),
+q AS (SELECT source, avg(1.0 - said) AS q0 FROM d GROUP BY source),
+x AS (SELECT source, greatest(0.0, least(1.0, (q0 - b) / (a - b))) AS p0, greatest(0.0, least(1.0, (a - q0) / (a - b))) AS p1 FROM q, m)
+SELECT source, 0 AS class, round(p0 / (p0 + p1), 6) AS p FROM x UNION ALL SELECT source, 1, round(p1 / (p0 + p1), 6) FROM x""")
+def acc_inv_2x2(spark, sf_dir):
+    """Adjustment by the inverse of a 2 x 2 transfer matrix: English or not."""
+    rows = languages(spark, sf_dir).withColumn("label", F.when(F.col("label") == 1, 0).otherwise(1))
+    return long(Q.ACC(BINARY, strategy="inv").fit(rows).transform(rows, "source"), "source")
+
+
+EM_STEP = """list_transform(range(1, {C} + 1), lambda c: list_sum(list_transform(range(1, {F} + 1), lambda f:
+      CASE WHEN list_sum(list_transform(range(1, {C} + 1), lambda k: m[f][k] * p[k])) > 0 THEN
+        m[f][c] * p[c] * q[f] / list_sum(list_transform(range(1, {C} + 1), lambda k: m[f][k] * p[k])) ELSE 0 END)))"""
+
+
+@query(LANG_SQL.replace("WITH d", "WITH RECURSIVE d") + f""", ml AS (
+  SELECT list_transform(range(1, 5), lambda f: list_transform(range(1, 5), lambda c: (CASE WHEN f = c THEN 0.85 ELSE 0.05 END) / pt[c])) AS m, pt
+  FROM (SELECT list(p_trn ORDER BY class) AS pt FROM t)
+), ql AS (SELECT source, list(q ORDER BY class) AS q FROM q GROUP BY source),
+em AS (
+  SELECT 0 AS i, source, q, m, pt AS p FROM ql, ml
+  UNION ALL
+  SELECT i + 1, source, q, m, {EM_STEP.format(C=4, F=4)} FROM em WHERE i < 5
+) SELECT source, CAST(c - 1 AS INTEGER) AS class, round(p[c], 6) AS p FROM (SELECT source, p, unnest(range(1, 5)) AS c FROM em WHERE i = 5)""")
+def sld_k(spark, sf_dir):
+    """Five steps of EM over posteriors."""
+    rows = languages(spark, sf_dir)
+    return long(Q.SLD(LANG, n_iterations=5).fit(rows).transform(rows, "source"), "source")
+
+
+# the quantity task
+
+
+def quantities(spark: SparkSession, sf_dir: str, classes: int = 5) -> DataFrame:
+    """(bag, status, label, features) of line items."""
+    band = F.floor((F.col("l_quantity") - 1) / (50 // classes)).cast("int")
+    x = F.col("l_quantity") * (1 - F.col("l_discount"))
+    lines = table(spark, sf_dir, "lineitem")
+    return lines.select(F.col("l_suppkey").alias("bag"), F.col("l_linestatus").alias("status"), band.alias("label"), F.array(x).alias("features"))
+
+
+def halves(spark, sf_dir, classes: int = 5) -> tuple[DataFrame, DataFrame]:
+    rows = quantities(spark, sf_dir, classes)
+    return rows.where("status = 'F'"), rows.where("status = 'O'")
+
+
+def quantity_sql(classes: int = 5, recursive: str = "") -> str:
+    return f"""WITH {recursive} r AS (
+  SELECT l_suppkey AS bag, l_linestatus AS status, CAST(floor((l_quantity - 1) / {50 // classes}) AS INTEGER) AS c, l_quantity * (1 - l_discount) AS x FROM lineitem
+), e AS (SELECT min(x) AS lo, max(x) AS hi FROM r WHERE status = 'F'),
+b AS (SELECT r.*, CAST(len(list_filter(range(1, {BINS}), lambda k: lo + k * (hi - lo) / {BINS} < x)) AS INTEGER) AS f FROM r, e),
+ks AS (SELECT CAST(unnest(range({classes})) AS INTEGER) AS c), fs AS (SELECT CAST(unnest(range({BINS})) AS INTEGER) AS f),
+m AS (SELECT fs.f, ks.c, count(b.x) * 1.0 / (SELECT count(*) FROM b WHERE status = 'F' AND c = ks.c) AS m
+  FROM fs CROSS JOIN ks LEFT JOIN b ON b.f = fs.f AND b.c = ks.c AND b.status = 'F' GROUP BY fs.f, ks.c),
+n AS (SELECT bag, count(*) AS n FROM b WHERE status = 'O' GROUP BY bag),
+q AS (SELECT n.bag, fs.f, count(b.x) * 1.0 / any_value(n.n) AS q, any_value(n.n) AS n
+  FROM n CROSS JOIN fs LEFT JOIN b ON b.bag = n.bag AND b.f = fs.f AND b.status = 'O' GROUP BY n.bag, fs.f)
+"""
+
+
+QUANT = quantity_sql()
+HIST = HistogramTransformer(BINS)
+
+
+def fitted_vectors(spark, sf_dir, classes: int = 5):
+    """The fitted IBU over histograms, and (bag_, n, q) of every supplier's open lines."""
+    train, test = halves(spark, sf_dir, classes)
+    model = Q.IBU(HIST, n_iterations=STEPS).fit(train)
+    return model, model.vectors(test, "bag")
+
+
+@query(QUANT + f"SELECT CAST(k AS INTEGER) AS k, round(lo + k * (hi - lo) / {BINS}, 6) AS edge FROM e, (SELECT unnest(range(1, {BINS})) AS k)")
+def hist_edges(spark, sf_dir):
+    """Inner edges of the feature's histogram."""
+    train, _ = halves(spark, sf_dir)
+    bounds = train.agg(F.min(F.col("features")[0]).alias("lo"), F.max(F.col("features")[0]).alias("hi"))
+    edges = bounds.select(F.posexplode(E.inner_edges(F.col("lo"), F.col("hi"), BINS)).alias("k", "edge"))
+    return edges.select((F.col("k") + 1).alias("k"), F.round("edge", 6).alias("edge"))
+
+
+@query(QUANT + "SELECT status, f, count(*) AS n FROM b GROUP BY status, f")
+def hist_bins(spark, sf_dir):
+    """Rows of each bin."""
+    train, test = halves(spark, sf_dir)
+    fitted, _ = HIST.fit(train, "label")
+    rows = fitted.transform(train.unionByName(test))
+    return rows.groupBy("status", F.col(ENTRIES)[0]["f"].alias("f")).agg(F.count("*").alias("n"))
+
+
+@query(QUANT + "SELECT f, c, round(m, 6) AS m FROM m WHERE m > 0")
+def transfer_matrix(spark, sf_dir):
+    """The bins' shares of each class."""
+    train, _ = halves(spark, sf_dir)
+    _, rows = HIST.fit(train, "label")
+    cells = rows.groupBy(F.col(ENTRIES)[0]["f"].alias("f"), F.col(LABEL).alias("c")).count()
+    return cells.select("f", "c", F.round(F.col("count") / F.sum("count").over(window_over("c")), 6).alias("m"))
+
+
+@query(QUANT + "SELECT bag, f, n, round(q, 6) AS q FROM q")
+def bag_q(spark, sf_dir):
+    """Feature means of every supplier's open lines."""
+    _, vectors = fitted_vectors(spark, sf_dir)
+    return vectors.select(F.col("bag_").alias("bag"), "n", F.posexplode("q").alias("f", "q")).withColumn("q", F.round("q", 6))
+
+
+@query(QUANT + """SELECT n.bag, fs.f, round(0.5 * count(b.x) / any_value(n.n), 6) AS b
+FROM n CROSS JOIN fs LEFT JOIN b ON b.bag = n.bag AND b.f = fs.f AND b.status = 'F' GROUP BY n.bag, fs.f""")
+def background_vector(spark, sf_dir):
+    """Half the finished lines of every supplier as the background of its open ones."""
+    train, test = halves(spark, sf_dir)
+    model = Q.HDx(BINS).fit(train)
+    both = train.unionByName(test).withColumn("behind", F.col("status") == "F")
+    found = model.vectors(both, "bag", "behind", 0.5).where("n > 0")
+    return found.select(F.col("bag_").alias("bag"), F.posexplode("b").alias("f", "b")).withColumn("b", F.round("b", 6))
+
+
+@query(QUANT + f"SELECT bag, f, round(sqrt(1 + greatest(1, n - {BINS}) * q) / avg(sqrt(1 + greatest(1, n - {BINS}) * q)) OVER (PARTITION BY bag), 6) AS w FROM q")
+def svd_weights(spark, sf_dir):
+    """Statistical weights of the features."""
+    _, vectors = fitted_vectors(spark, sf_dir)
+    w = E.svd_weights(F.col("q"), F.col("n"))
+    return vectors.select(F.col("bag_").alias("bag"), F.posexplode(w).alias("f", "w")).withColumn("w", F.round("w", 6))
+
+
+@query(QUANT + """, x AS (SELECT bag, f, greatest(0.0, least(1.0, 3 * q - 0.1)) AS x FROM q)
+SELECT bag, f, round(x / sum(x) OVER (PARTITION BY bag), 6) AS x FROM x""")
+def clip_normalize(spark, sf_dir):
+    """Clamping and normalising a vector."""
+    _, vectors = fitted_vectors(spark, sf_dir)
+    x = E.clip_and_normalize(F.transform("q", lambda v: 3 * v - 0.1))
+    return vectors.select(F.col("bag_").alias("bag"), F.posexplode(x).alias("f", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(quantity_sql(2) + """, g AS (
+  SELECT sum(a.m * a.m) AS aa, sum(a.m * b.m) AS ab, sum(b.m * b.m) AS bb FROM m a JOIN m b ON a.f = b.f WHERE a.c = 0 AND b.c = 1
+), v AS (SELECT q.bag, sum(CASE WHEN m.c = 0 THEN m.m * q.q END) AS va, sum(CASE WHEN m.c = 1 THEN m.m * q.q END) AS vb FROM q JOIN m ON m.f = q.f GROUP BY q.bag),
+x AS (SELECT bag, greatest(0.0, least(1.0, (bb * va - ab * vb) / (aa * bb - ab * ab))) AS p0, greatest(0.0, least(1.0, (aa * vb - ab * va) / (aa * bb - ab * ab))) AS p1 FROM v, g)
+SELECT bag, 0 AS class, round(p0 / (p0 + p1), 6) AS p FROM x UNION ALL SELECT bag, 1, round(p1 / (p0 + p1), 6) FROM x""")
+def acc_pinv_normal_eq(spark, sf_dir):
+    """Least-squares adjustment of two classes over ten bins."""
+    model, vectors = fitted_vectors(spark, sf_dir, 2)
+    return long(vectors.select(F.col("bag_").alias("bag"), E.pinv(model.M, F.col("q")).alias("p")), "bag")
+
+
+def em_sql(smooth: bool) -> str:
+    step = EM_STEP.format(C=5, F=BINS)
+    prior = "list_transform(x, lambda v: 0.1::DOUBLE * 0.2 + 0.9 * v / list_sum(x))" if smooth else "x"
+    return quantity_sql(5, "RECURSIVE") + f""", ml AS (SELECT list(row ORDER BY f) AS m FROM (SELECT f, list(m ORDER BY c) AS row FROM m GROUP BY f)),
+ql AS (SELECT bag, list(q ORDER BY f) AS q FROM q GROUP BY bag),
+em AS (
+  SELECT 0 AS i, bag, q, m, CAST([0.2, 0.2, 0.2, 0.2, 0.2] AS DOUBLE[]) AS p, CAST([0.2, 0.2, 0.2, 0.2, 0.2] AS DOUBLE[]) AS x FROM ql, ml
+  UNION ALL
+  SELECT i + 1, bag, q, m, {prior} AS p, x FROM (SELECT i, bag, q, m, {step} AS x FROM em WHERE i < {STEPS})
+) SELECT bag, CAST(c - 1 AS INTEGER) AS class, round(x[c], 6) AS p FROM (SELECT bag, x, unnest(range(1, 6)) AS c FROM em WHERE i = {STEPS})"""
+
+
+@query(em_sql(False))
+def ibu_k(spark, sf_dir):
+    """Twenty steps of iterative Bayesian unfolding."""
+    train, test = halves(spark, sf_dir)
+    return long(Q.IBU(HIST, n_iterations=STEPS).fit(train).transform(test, "bag"), "bag")
+
+
+@query(em_sql(True))
+def ibu_smoothed_o0(spark, sf_dir):
+    """The same with a tenth of a constant mixed into each prior."""
+    train, test = halves(spark, sf_dir)
+    return long(Q.IBU(HIST, o=0, lam=0.1, n_iterations=STEPS).fit(train).transform(test, "bag"), "bag")
+
+
+# the objectives, at uniform prevalences
+
+
+def objective(spark, sf_dir, value) -> DataFrame:
+    """``value(q, Mp, n)`` of every bag at p = (1/5, ..., 1/5)."""
+    model, vectors = fitted_vectors(spark, sf_dir)
+    mean = E.vector(model.M.mean(axis=1))
+    return vectors.select(F.col("bag_").alias("bag"), F.round(value(F.col("q"), mean, F.col("n")), 6).alias("loss"))
+
+
+MEAN_SQL = QUANT + ", u AS (SELECT f, avg(m) AS mp FROM m GROUP BY f)\n"
+
+
+@query(MEAN_SQL + "SELECT bag, round(sum((q - mp) * (q - mp)), 6) AS loss FROM q JOIN u USING (f) GROUP BY bag")
+def lsq_loss(spark, sf_dir):
+    """Least-squares objective."""
+    return objective(spark, sf_dir, lambda q, mp, n: E.total(F.zip_with(q, mp, lambda a, b: (a - b) * (a - b))))
+
+
+@query(MEAN_SQL + "SELECT bag, round(sum(n * mp - n * q * ln(n * mp)), 6) AS loss FROM q JOIN u USING (f) GROUP BY bag")
+def ml_loss(spark, sf_dir):
+    """Poisson likelihood objective."""
+    return objective(spark, sf_dir, lambda q, mp, n: E.total(F.zip_with(q, mp, lambda a, b: n * b - n * a * F.log(n * b))))
+
+
+@query(MEAN_SQL + "SELECT bag, round(sqrt(sum((sqrt(q) - sqrt(mp)) * (sqrt(q) - sqrt(mp)))), 6) AS loss FROM q JOIN u USING (f) GROUP BY bag")
+def hellinger_loss(spark, sf_dir):
+    """Hellinger distance."""
+    part = lambda a, b: (F.sqrt(a) - F.sqrt(b)) * (F.sqrt(a) - F.sqrt(b))
+    return objective(spark, sf_dir, lambda q, mp, n: F.sqrt(E.total(F.zip_with(q, mp, part))))
+
+
+# metrics of every supplier's band shares against those of all lines
+
+SHARES_SQL = QUANT + """, a AS (SELECT c, count(*) * 1.0 / (SELECT count(*) FROM r) AS p FROM r GROUP BY c),
+s AS (SELECT g.bag, a.c, a.p, count(r.x) * 1.0 / any_value(g.n) AS f, any_value(g.n) AS n
+  FROM (SELECT bag, count(*) AS n FROM r GROUP BY bag) g CROSS JOIN a LEFT JOIN r ON r.bag = g.bag AND r.c = a.c GROUP BY g.bag, a.c, a.p)
+"""
+
+
+def shares(spark, sf_dir) -> DataFrame:
+    """(bag, p, found, n): band shares of all lines and of each supplier's."""
+    rows = quantities(spark, sf_dir)
+    counts = rows.groupBy("bag").agg(F.count("*").alias("n"), *[F.sum((F.col("label") == c).cast("int")).alias(f"c{c}") for c in range(5)])
+    all_rows = rows.groupBy().agg(F.array(*[F.avg((F.col("label") == c).cast("double")) for c in range(5)]).alias("p"))
+    found = F.array(*[F.col(f"c{c}") / F.col("n") for c in range(5)])
+    return counts.select("bag", "n", found.alias("found")).join(F.broadcast(all_rows))
+
+
+def metric(spark, sf_dir, name: str, value: Column) -> DataFrame:
+    return shares(spark, sf_dir).select("bag", (F.round(value, 6) if name != "is_pdf" else value).alias(name))
+
+
+
+@query(SHARES_SQL + "SELECT bag, round(avg(abs(p - f)), 6) AS ae FROM s GROUP BY bag")
+def ae(spark, sf_dir):
+    """Mean absolute error."""
+    return metric(spark, sf_dir, "ae", M.absolute_error(F.col("p"), F.col("found")))
+
+
+@query(SHARES_SQL + "SELECT bag, round(sum(abs(p - f)), 6) AS l1 FROM s GROUP BY bag")
+def l1(spark, sf_dir):
+    """Sum of absolute errors."""
+    return metric(spark, sf_dir, "l1", M.l1_error(F.col("p"), F.col("found")))
+
+
+@query(SHARES_SQL + """, z AS (SELECT *, (p + 1 / (2.0 * n)) / (1 + 5 / (2.0 * n)) AS sp, (f + 1 / (2.0 * n)) / (1 + 5 / (2.0 * n)) AS sf FROM s)
+SELECT bag, round(avg(abs(sp - sf) / sp), 6) AS rae FROM z GROUP BY bag""")
+def rae(spark, sf_dir):
+    """Mean relative error of smoothed prevalences."""
+    return metric(spark, sf_dir, "rae", M.relative_absolute_error(F.col("p"), F.col("found"), F.col("n")))
+
+
+@query(SHARES_SQL + "SELECT bag, abs(sum(f) - 1) < 1e-8 AND min(f) > -1e-8 AS is_pdf FROM s GROUP BY bag")
+def is_pdf(spark, sf_dir):
+    """Whether an estimate is a distribution."""
+    return metric(spark, sf_dir, "is_pdf", M.is_pdf(F.col("found")))
+
+
+CUMULATED = ", z AS (SELECT bag, c, p, sum(p - f) OVER (PARTITION BY bag ORDER BY c) AS gap FROM s)\n"
+
+
+@query(SHARES_SQL + CUMULATED + "SELECT bag, round(sum(abs(gap)) / sum(p), 6) AS mdpa FROM z GROUP BY bag")
+def mdpa(spark, sf_dir):
+    """Minimum difference of pair assignments."""
+    return metric(spark, sf_dir, "mdpa", M.mdpa(F.col("p"), F.col("found")))
+
+
+@query(SHARES_SQL + CUMULATED + "SELECT bag, round(sum(abs(gap)) / sum(p) / 4, 6) AS nmd FROM z GROUP BY bag")
+def nmd(spark, sf_dir):
+    """Normalised match distance."""
+    return metric(spark, sf_dir, "nmd", M.nmd(F.col("p"), F.col("found")))
+
+
+BEND = ", z AS (SELECT bag, 2 * f - lag(f) OVER w - lead(f) OVER w AS d FROM s WINDOW w AS (PARTITION BY bag ORDER BY c))\n"
+
+
+@query(SHARES_SQL + BEND + "SELECT bag, round(sum(d * d) / 2, 6) AS curvature FROM z GROUP BY bag")
+def curvature(spark, sf_dir):
+    """Half the squared second differences."""
+    return metric(spark, sf_dir, "curvature", M.curvature(F.col("found")))
+
+
+@query(SHARES_SQL + BEND + "SELECT bag, round(10.0 / 2 * sum(d * d), 6) AS penalty FROM z GROUP BY bag")
+def tikhonov(spark, sf_dir):
+    """The regulariser at strength ten."""
+    return metric(spark, sf_dir, "penalty", 10.0 * M.curvature(F.col("found")))
+
+
+@query(SHARES_SQL + """, z AS (SELECT *, f / (c + 1) AS x FROM s), y AS (SELECT *, log10(1 + x / sum(x) OVER (PARTITION BY bag) * (n - 5)) AS y FROM z)
+SELECT bag, c AS class, round(y / sum(y) OVER (PARTITION BY bag), 6) AS density FROM y""")
+def log10_density(spark, sf_dir):
+    """Density of the logarithmic spectrum."""
+    x = M.log10_density(F.col("found"), E.vector([1, 2, 3, 4, 5]), F.col("n"))
+    return shares(spark, sf_dir).select("bag", F.posexplode(x).alias("class", "density")).withColumn("density", F.round("density", 6))
+
+
+@query("""WITH g AS (SELECT bag, c, p, (c + 1.0) AS a, exp(-0.7 * c) AS flux FROM (""" + SHARES_SQL + """SELECT bag, c, f AS p FROM s))
+SELECT bag, c AS class, round(p * a / sum(p * a) OVER w * sum(flux) OVER w, 6) AS flux FROM g WINDOW w AS (PARTITION BY bag)""")
+def corrected_flux(spark, sf_dir):
+    """Acceptance-corrected prevalences scaled to a reference flux."""
+    flux = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.exp(-0.7 * c))
+    x = M.corrected_flux(F.col("found"), E.vector([1, 2, 3, 4, 5]), flux)
+    return shares(spark, sf_dir).select("bag", F.posexplode(x).alias("class", "flux")).withColumn("flux", F.round("flux", 6))
+
+
+@query("SELECT p_partkey, round(1e10 * 3.23e-10 * pow(p_retailprice / 1000, -2.47 - 0.24 * log10(p_retailprice / 1000)), 6) AS flux FROM part")
+def crab_flux(spark, sf_dir):
+    """The reference flux at energies taken from prices."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(1e10 * M.crab_flux(F.col("p_retailprice")), 6).alias("flux"))
+
+
+@query("""SELECT o_orderpriority AS priority, round(avg(o_totalprice), 4) AS mean, CAST(i AS INTEGER) AS i, round(q[i + 1], 4) AS value FROM (
+  SELECT o_orderpriority, avg(o_totalprice) AS o_totalprice, quantile_cont(o_totalprice, [0.05, 0.25, 0.5, 0.75, 0.95]) AS q, unnest(range(5)) AS i FROM orders GROUP BY o_orderpriority
+) GROUP BY ALL""".replace("round(avg(o_totalprice), 4) AS mean", "round(o_totalprice, 4) AS mean").replace(") GROUP BY ALL", ")"))
+def percentiles(spark, sf_dir):
+    """Mean and interpolated quantiles of order prices by priority."""
+    found = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(
+        F.round(F.avg("o_totalprice"), 4).alias("mean"), M.percentiles("o_totalprice").alias("q")
+    )
+    return found.select("priority", "mean", F.posexplode("q").alias("i", "value")).withColumn("value", F.round("value", 4))
+
+
+# sampling, selection and tables
+
+
+@query("""WITH d AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5(o_orderkey || '|42'), o_orderkey) AS r FROM orders)
+SELECT o_orderkey, o_orderpriority FROM d WHERE r <= CASE o_orderpriority WHEN '1-URGENT' THEN 50 WHEN '2-HIGH' THEN 30 ELSE 20 END
+  AND o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""")
+def subsample_md5(spark, sf_dir):
+    """A bag of 100 orders at prevalences 0.5, 0.3, 0.2 of the first three priorities."""
+    names = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM")])
+    rows = table(spark, sf_dir, "orders").withColumn("label", F.array_position(names, F.col("o_orderpriority")).cast("int") - 1)
+    return P.subsample(rows, "label", "o_orderkey", 100, [0.5, 0.3, 0.2]).select("o_orderkey", "o_orderpriority")
+
+
+@query(SHARES_SQL + BEND + """, g AS (SELECT bag, sum(d * d) / 2 AS x FROM z GROUP BY bag)
+SELECT bag, round(x, 6) AS curvature FROM g ORDER BY round(x, 9), bag LIMIT 5""")
+def app_oq_topk(spark, sf_dir):
+    """The five smoothest suppliers."""
+    found = shares(spark, sf_dir).select("bag", M.curvature(F.col("found")).alias("x"))
+    return found.orderBy(F.round("x", 9), "bag").limit(5).select("bag", F.round("x", 6).alias("curvature"))
+
+
+RESULTS_SQL = """WITH x AS (
+  SELECT l_shipdate::DATE AS day, l_suppkey AS bag, l_returnflag AS method, CASE WHEN sum(l_tax) > 0.2 THEN avg(l_discount) END AS ae FROM lineitem GROUP BY ALL
+), g AS (SELECT bag, method, round(avg(ae), 6) AS ae, round(stddev_samp(ae), 6) AS sd, sum(CASE WHEN ae IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_failures FROM x GROUP BY bag, method)
+"""
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """(bag, method, ae, sd, n_failures): errors by group, where small groups fail."""
+    lines = table(spark, sf_dir, "lineitem")
+    each = lines.groupBy(F.to_date("l_shipdate").alias("day"), F.col("l_suppkey").alias("bag"), F.col("l_returnflag").alias("method")).agg(
+        F.when(F.sum("l_tax") > 0.2, F.avg("l_discount")).alias("ae")
+    )
+    return each.groupBy("bag", "method").agg(
+        F.round(F.avg("ae"), 6).alias("ae"), F.round(F.stddev_samp("ae"), 6).alias("sd"),
+        F.sum(F.col("ae").isNull().cast("int")).alias("n_failures"),
+    )
+
+
+@query(RESULTS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY ae ASC NULLS LAST, method) AS i FROM g)
+SELECT bag, method, ae, sd, n_failures FROM r WHERE i = 1""")
+def argmin_per_group(spark, sf_dir):
+    """The best method of each bag; missing errors come last."""
+    return V.best(results(spark, sf_dir), ["bag"], "ae", ["method"])
+
+
+@query(RESULTS_SQL + """SELECT coalesce(a.bag, b.bag) AS bag, a.ae AS ae, b.n_failures AS n_failures
+FROM (SELECT bag, ae FROM g WHERE method = 'A') a FULL JOIN (SELECT bag, n_failures FROM g WHERE method = 'N' AND n_failures > 0) b ON a.bag = b.bag""")
+def failure_outer_join(spark, sf_dir):
+    """Errors of one method beside the failures of another, whichever exist."""
+    found = results(spark, sf_dir)
+    a = found.where("method = 'A'").select("bag", "ae")
+    return a.join(found.where("method = 'N' AND n_failures > 0").select("bag", "n_failures"), "bag", "full")
+
+
+@query(RESULTS_SQL + """SELECT bag, max(CASE WHEN method = 'A' THEN ae END) AS "A", max(CASE WHEN method = 'N' THEN ae END) AS "N", max(CASE WHEN method = 'R' THEN ae END) AS "R" FROM g GROUP BY bag""")
+def pivot_table(spark, sf_dir):
+    """Errors with a column for each method."""
+    return results(spark, sf_dir).groupBy("bag").pivot("method", ["A", "N", "R"]).agg(F.first("ae"))
+
+
+@query("""SELECT e.event_type AS kind, count(*) AS n, sum(CASE WHEN e.value > 50 THEN 1 ELSE 0 END)::BIGINT AS n_on, round(avg(ln(1 + abs(e.value))), 6) AS log_size,
+  round(avg(sqrt(e.value * e.value + c.c_acctbal * c.c_acctbal)), 4) AS radius
+FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.value > 25 OR e.event_type LIKE '%c%' GROUP BY e.event_type""")
+def on_off_cut(spark, sf_dir):
+    """Join, cuts and derived features of events."""
+    e, c = table(spark, sf_dir, "events"), table(spark, sf_dir, "customer")
+    rows = e.join(c, e["user_id"] == c["c_custkey"]).where((F.col("value") > 25) | F.col("event_type").contains("c"))
+    return rows.groupBy(F.col("event_type").alias("kind")).agg(
+        F.count("*").alias("n"), F.sum((F.col("value") > 50).cast("int")).alias("n_on"),
+        F.round(F.avg(F.log(1 + F.abs("value"))), 6).alias("log_size"),
+        F.round(F.avg(F.sqrt(F.col("value") ** 2 + F.col("c_acctbal") ** 2)), 4).alias("radius"),
+    )
+
+
+@query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark, sf_dir):
+    """Events of each type by day: the sums that event-time prevalences keep."""
+    rows = table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return rows.select(F.col("w.start").alias("day"), "event_type", "n")
+
+
+# numeric strategies: no SQL
+
+
+def numeric(name: str, make, task: str) -> None:
+    def run(spark, sf_dir):
+        if task == "languages":
+            rows = languages(spark, sf_dir)
+            return long(make().fit(rows).transform(rows, "source"), "source", 4)
+        train, test = halves(spark, sf_dir)
+        return long(make().fit(train).transform(test, "bag"), "bag", 4)
+
+    run.__name__, run.__doc__ = name, f"Prevalences by {name.replace('_', ' ')}."
+    QUERIES[name] = run
+
+
+for s in ("softmax", "softmax_reg", "softmax_full_reg", "constrained"):
+    numeric(f"acc_{s}", lambda s=s: Q.ACC(LANG, strategy=s), "languages")
+    numeric(f"pacc_{s}", lambda s=s: Q.PACC(LANG, strategy=s), "languages")
+    numeric(f"hdy_{s}", lambda s=s: Q.HDy(3, strategy=s, classifier=LANG, n_trials=2), "languages")
+    numeric(f"hdx_{s}", lambda s=s: Q.HDx(BINS, strategy=s, n_trials=2), "quantities")
+    numeric(f"svd_{s}", lambda s=s: Q.SVD(HIST, strategy=s), "quantities")
+for s in Q.RUN.strategies:
+    numeric(f"run_{s}", lambda s=s: Q.RUN(HIST, strategy=s), "quantities")
+numeric("svd_original", lambda: Q.SVD(HIST, strategy="original", n_df=4), "quantities")
+numeric("acc_pinv", lambda: Q.ACC(LANG, strategy="pinv"), "languages")
+numeric("oacc_constrained", lambda: Q.ACC(LANG, strategy="constrained", tau=10.0), "languages")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, class, p): language prevalences by adjusted classify-and-count."""
+    return QUERIES["acc_pinv"](spark, sf_dir)
