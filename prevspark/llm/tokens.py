@@ -22,39 +22,166 @@ from prevspark.llm.wavelet import WaveletMatrix, from_bytes, to_bytes
 
 #: Ids of a shard; documents are not split, so that the last one may exceed it.
 SHARD = 1 << 20
-#: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Places of a worker's table of known pieces; characters that are cut at once.
+PLACES, GROUP = 1 << 21, 1 << 20
 SHARDS = "part int, seq int, first long, n_tokens long, n_docs long, shard binary"
 
-#: Where the byte-level tokenizer splits a text, for texts of SAFE characters alone.
-SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
-SAFE = re.compile(r"[\t\n\r -~¡-©«-±´¶-¸»¿-ɏ–—‘’“”…€]*")
+#: Characters whose class is plain; a text with any other goes to the library whole.
+SAFE = re.compile(r"[\t\n\x0b\x0c\r -~¡-©«-±´¶-·»¿-ɏ–—‘’“”…€]*")
+#: What the tokenizer cuts off after an apostrophe.
+ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+#: A piece that can stand on a line with others.
+LINE = re.compile(r"[^\S\n\0]?[^\s\0]+")
+STOP, LETTER, DIGIT, MARK, SPACE, OTHER_SPACE = range(6)
+
+
+def classes() -> np.ndarray:
+    """The class of each code point below 0x2100, as far as SAFE characters go."""
+    kind = np.full(0x2100, MARK, dtype=np.uint8)
+    for first, last in (("A", "Z"), ("a", "z"), ("À", "Ö"), ("Ø", "ö"), ("ø", "ɏ")):
+        kind[ord(first) : ord(last) + 1] = LETTER
+    kind[ord("0") : ord("9") + 1] = DIGIT
+    kind[9:14] = OTHER_SPACE
+    kind[32], kind[0] = SPACE, STOP
+    return kind
+
+
+def cuts(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where the pieces of the byte-level tokenizer begin; 0 ends a text and is a piece of its own.
+
+    A piece is an ending after an apostrophe; or letters, digits or other marks, with one space before them; or white space,
+    without its last character if anything but white space follows.
+    """
+    before, after = np.r_[np.uint8(STOP), kind[:-1]], np.r_[kind[1:], np.uint8(STOP)]
+    space = kind >= SPACE
+    solid = (kind != before) & (before != SPACE) | (kind == STOP)
+    start = np.where(space, (before < SPACE) | (after < SPACE) & (after != STOP), solid)
+    for at in np.flatnonzero((codes == 39) & start).tolist():
+        follow = "".join(map(chr, codes[at + 1 : at + 3].tolist()))
+        size = next((len(e) for e in ENDINGS if follow.startswith(e)), 0)
+        if size:
+            start[at + 1], start[at + 1 + size] = False, True
+    return np.flatnonzero(start)
 
 
 class Encoder:
-    """Ids of whole texts. The library encodes each piece once; its byte-level model never merges across pieces."""
+    """Ids of whole texts, each followed by ``end``.
+
+    The library encodes each piece once, as its byte-level model never merges across pieces; a piece is known again by a
+    64-bit hash of its characters.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end: int = 0):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not SAFE.fullmatch(text):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        known, pieces = self.known, SPLIT.findall(text)
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=np.uint32)
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in known]
-        for piece, found in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.array(found.ids, dtype=np.uint32).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=np.uint32)
+        self.end, self.kind = end, classes()
+        self.id_type = np.uint16 if max(self.model.get_vocab_size(), end + 1) <= 1 << 16 else np.uint32
+        mix = np.arange(1, 0x2101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mix = (mix ^ (mix >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        self.mixed = mix ^ (mix >> np.uint64(29))
+        self.power = self.inverse = np.ones(0, dtype=np.uint64)
+        self.line_break = self.plain(["\n"])[0]
+        self.forget()
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.id_type) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def forget(self) -> None:
+        self.keys, self.values = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.int32)
+        self.offset, self.size = np.zeros(PLACES, dtype=np.int64), np.zeros(PLACES, dtype=np.int64)
+        self.flat, self.used, self.n = np.zeros(1 << 20, dtype=self.id_type), 0, 0
+
+    def hashes(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """A polynomial over the characters of each piece, from a running sum over all."""
+        if len(self.power) < len(codes):
+            n = max(len(codes), GROUP + 1)
+            base = np.uint64(0xD1342543DE82EF95)
+            self.power = np.cumprod(np.full(n, base))
+            self.inverse = np.cumprod(np.full(n, np.uint64(pow(int(base), -1, 1 << 64))))
+        total = np.cumsum(self.mixed[codes] * self.power[: len(codes)])
+        ends = np.r_[starts[1:], len(codes)] - 1
+        before = np.where(starts > 0, total[starts - 1], np.uint64(0))
+        found = (total[ends] - before) * self.inverse[starts]
+        found = (found ^ (found >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return (found ^ (found >> np.uint64(29))) | np.uint64(1)
+
+    def places(self, wanted: np.ndarray) -> np.ndarray:
+        """Where each hash stands in the table, or the free place where it would."""
+        at = (wanted >> np.uint64(40)).astype(np.int64) % PLACES
+        left = np.arange(len(wanted))
+        while len(left):
+            held = self.keys[at[left]]
+            left = left[(held != wanted[left]) & (held != 0)]
+            at[left] = (at[left] + 1) % PLACES
+        return at
+
+    def learn(self, wanted: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pieces; those without white space inside go to the library together, a line each."""
+        if self.n + len(pieces) > PLACES * 6 // 10:
+            self.forget()
+        # a line each, unless a piece holds white space after its first character, or nothing else
+        alone = np.array([LINE.fullmatch(p) is None for p in pieces], dtype=bool)
+        order = np.argsort(alone, kind="stable")
+        wanted, pieces = wanted[order], [pieces[k] for k in order.tolist()]
+        n_lines = len(pieces) - int(alone.sum())
+        new, sizes = np.zeros(0, dtype=self.id_type), np.zeros(0, dtype=np.int64)
+        if n_lines:
+            ids = self.plain(["\n".join(pieces[:n_lines]) + "\n"])[0]
+            breaks = np.flatnonzero(ids == self.line_break[0])
+            new, sizes = ids[ids != self.line_break[0]], np.diff(np.r_[-1, breaks]) - 1
+            if len(self.line_break) != 1 or len(breaks) != n_lines:  # the ids of a piece hold a line's end
+                found = self.plain(pieces[:n_lines])
+                new, sizes = np.concatenate(found), np.array([len(x) for x in found])
+        stop = np.array([self.end], dtype=self.id_type)
+        rest = [stop if p == "\0" else x for p, x in zip(pieces[n_lines:], self.plain(pieces[n_lines:]))]
+        new, sizes = np.concatenate([new, *rest]), np.r_[sizes, [len(x) for x in rest]].astype(np.int64)
+        while self.used + len(new) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        self.flat[self.used : self.used + len(new)] = new
+        rows = slice(self.n, self.n + len(sizes))
+        self.size[rows], self.offset[rows] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used, value = self.used + len(new), np.arange(self.n, self.n + len(sizes), dtype=np.int32)
+        self.n += len(sizes)
+        left = np.arange(len(wanted))
+        while len(left):  # of several that want one free place, the last written has it
+            at = self.places(wanted[left])
+            self.keys[at], self.values[at] = wanted[left], value[left]
+            left = left[self.keys[at] != wanted[left]]
+
+    def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with its end, and how many each has."""
+        safe = [SAFE.fullmatch(t) is not None for t in texts]
+        joined = "\0".join(t if s else "" for t, s in zip(texts, safe)) + "\0"
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        starts = cuts(codes, self.kind[codes])
+        wanted = self.hashes(codes, starts)
+        at = self.places(wanted)
+        unknown = np.flatnonzero(self.keys[at] != wanted)
+        if len(unknown):
+            distinct, first = np.unique(wanted[unknown], return_index=True)
+            which = unknown[first]
+            ends = np.r_[starts[1:], len(codes)]
+            before = self.n
+            self.learn(distinct, [joined[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist())])
+            if self.n < before + len(distinct):  # the table began anew
+                return self.many(texts)
+            at = self.places(wanted)
+        value = self.values[at]
+        sizes = self.size[value]
+        sums = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.offset[value] - (sums - sizes), sizes) + np.arange(sums[-1])]
+        ends = sums[codes[starts] == 0]
+        lengths = np.diff(np.r_[0, ends])
+        if all(safe):
+            return ids, lengths
+        parts = np.split(ids, ends[:-1])
+        for k, s in enumerate(safe):
+            if not s:
+                whole = self.model.encode(texts[k], add_special_tokens=False).ids
+                parts[k] = np.array([*whole, self.end], dtype=self.id_type)
+        return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0, shard: int = SHARD) -> DataFrame:
@@ -68,31 +195,38 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0, shard
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        stop = np.array([end], dtype=np.uint32)
+        encode, part = Encoder(tokenizer, end), TaskContext.get().partitionId()
         first = seq = held = 0
         doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) + 1 for x in parts[::2]])
             matrix = WaveletMatrix.build(np.concatenate(parts))
-            row = [part, seq, first, held, len(doc_ids), to_bytes(matrix, doc_ids, lengths)]
+            row = [part, seq, first, held, len(doc_ids), to_bytes(matrix, doc_ids, np.concatenate(sizes))]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array([x], k) for x, k in zip(row, kinds)], names=["part", "seq", "first", "n_tokens", "n_docs", "shard"]
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                ids = encode(text.as_py() or "")
-                doc_ids.append(doc_id.as_py())
-                parts += [ids, stop]
-                held += len(ids) + 1
+            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                stop, chars = at, 0
+                while stop < len(texts) and (stop == at or chars + len(texts[stop]) < min(GROUP, shard)):
+                    chars += len(texts[stop]) + 1
+                    stop += 1
+                ids, lengths = encode.many(texts[at:stop])
+                doc_ids += names[at:stop]
+                parts.append(ids)
+                sizes.append(lengths)
+                held += len(ids)
+                at = stop
                 if held >= shard:
                     yield flush()
                     first, seq, held = first + held, seq + 1, 0
-                    doc_ids, parts = [], []
+                    doc_ids, parts, sizes = [], [], []
         if parts:
             yield flush()
 

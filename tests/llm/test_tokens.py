@@ -1,5 +1,6 @@
 """Wavelet matrices against plain lists; shards against the tokenizer itself."""
 
+import random
 import zlib
 
 import numpy as np
@@ -35,8 +36,22 @@ def test_encoder_equals_library():
     encode = tokens.Encoder(PATH)
     texts = ["", "a  b\n\n c\t", "It's we'll 'S x'dare", "3² ½ 12ab", "é×÷ñ naïve", "\x1c\x1d a\x85b\xa0c", "日本 語😀 x", "<|endoftext|>",
              "\x0b\x0c a", "a" * 3000, "   ", "ªµº", "– “x”…€"]
-    for text in texts * 2:
-        assert encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+    rng = random.Random(4)
+    parts = ["'s", "'", "'ll", "'l", "re", "S", " ", "  ", "\n", "\t", "a", "É", "9", "!", "—", "×", "word", "'re'd", "\r\n"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 25))) for _ in range(4000)]
+    for some in (texts, texts[:10], texts[::-1], [texts[0]]):
+        ids, lengths = encode.many(some)
+        for text, found in zip(some, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+            assert found.tolist() == plain.encode(text, add_special_tokens=False).ids + [0], repr(text)
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "PLACES", 256)
+    plain, encode = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    for k in range(20):
+        text = " ".join(f"w{k}x{i} it's" for i in range(40))
+        ids, _ = encode.many([text, "same again"])
+        assert ids.tolist() == plain.encode(text).ids + [0] + plain.encode("same again").ids + [0]
 
 
 def test_documents_come_back(spark):
