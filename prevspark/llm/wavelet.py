@@ -1,8 +1,8 @@
 """A wavelet matrix over token ids: one compressed file with access, rank, select and occurrence lookup.
 
 Level by level, from the top bit down, the ids are dealt stably into zeros and ones; each level keeps its bits as a packed
-plane with the number of ones before every block. The file holds the planes and counts, compressed with zstandard, and the
-documents' ids and lengths, so that a shard stands on its own.
+plane with the number of ones before every block. The file holds the planes and counts, compressed with zstandard, the
+documents' ids and lengths, and the ids that occur, so that a shard stands on its own.
 """
 
 from __future__ import annotations
@@ -16,27 +16,36 @@ import zstandard
 MAGIC = b"PWM1"
 #: Bits between two stored counts of ones.
 BLOCK_BITS = 512
-_HEAD = struct.Struct("<4sHHQQ")  # magic, levels, width of an id in bytes, tokens, documents
+_HEAD = struct.Struct("<4sIQQ")  # magic, levels, tokens, documents
 _LEVEL = struct.Struct("<QII")  # zeros, bytes of the plane, bytes of the counts
 
 
+def kind_for(n: int) -> np.dtype:
+    """The narrowest type for numbers below ``n``."""
+    return np.dtype("<u2") if n <= 1 << 16 else np.dtype("<u4")
+
+
 class WaveletMatrix:
     """Ids of a shard and where its documents end."""
 
-    def __init__(self, n: int, kind: np.dtype, levels: list[tuple[int, np.ndarray, np.ndarray]]):
-        self.n, self.kind, self.levels = n, kind, levels
+    def __init__(self, n: int, symbols: np.ndarray, levels: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.n, self.symbols, self.levels = n, symbols, levels
+        self.kind = kind_for(len(symbols))
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        top = int(ids.max(initial=0))
-        kind = np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4")
-        left, levels = ids.astype(kind), []
-        for bit in range(max(1, top.bit_length()) - 1, -1, -1):
+        # the shard's own ids, numbered in order, need fewer levels than all ids
+        symbols = np.flatnonzero(np.bincount(ids.astype(np.int64), minlength=1)).astype("<u4")
+        kind = kind_for(len(symbols))
+        number = np.zeros(int(symbols.max(initial=0)) + 1, dtype=kind)
+        number[symbols] = np.arange(len(symbols))
+        left, levels = number[ids], []
+        for bit in range(max(1, (len(symbols) - 1).bit_length()) - 1, -1, -1):
             ones = (left & kind.type(1 << bit)) != 0
             plane = np.packbits(ones)
             levels.append((len(left) - int(np.count_nonzero(ones)), plane, counts(plane)))
             left = np.concatenate((left[~ones], left[ones]))
-        return cls(len(ids), kind, levels)
+        return cls(len(ids), symbols, levels)
 
     def all(self) -> np.ndarray:
         """Every id, in order: the deals are undone from the last level up."""
@@ -47,7 +56,7 @@ class WaveletMatrix:
             before[~ones] = ids[:zeros]
             before[ones] = ids[zeros:] | self.kind.type(1 << bit)
             ids = before
-        return ids
+        return self.symbols[ids] if self.n else self.symbols[:0]
 
     def _ones_before(self, level: int, at: int) -> int:
         _, plane, before = self.levels[level]
@@ -67,11 +76,17 @@ class WaveletMatrix:
             ones = self._ones_before(level, at)
             at = zeros + ones if bit else at - ones
             value = value << 1 | bit
-        return value
+        return int(self.symbols[value])
+
+    def _number(self, token: int) -> int:
+        """The number of an id in this shard; -1 if it is not in it."""
+        at = int(np.searchsorted(self.symbols, token)) if token >= 0 else len(self.symbols)
+        return at if at < len(self.symbols) and int(self.symbols[at]) == token else -1
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
         """Where the last level has the occurrences of ``token`` among the first ``end`` ids."""
-        if token < 0 or token >> len(self.levels):
+        token = self._number(token)
+        if token < 0:
             return 0, 0
         first = 0
         for level, (zeros, _, _) in enumerate(self.levels):
@@ -93,7 +108,7 @@ class WaveletMatrix:
         first, last = self._range(token, self.n)
         if not 0 <= k < last - first:
             raise IndexError(k)
-        at = first + k
+        at, token = first + k, self._number(token)
         for level in range(len(self.levels) - 1, -1, -1):
             zeros = self.levels[level][0]
             one = token >> (len(self.levels) - 1 - level) & 1
@@ -126,8 +141,8 @@ def to_bytes(matrix: WaveletMatrix, doc_ids: list[int | None], lengths: np.ndarr
     pack = zstandard.ZstdCompressor(level=1).compress
     ids = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     absent = np.packbits(np.array([d is None for d in doc_ids], dtype=bool))
-    parts = [_HEAD.pack(MAGIC, len(matrix.levels), matrix.kind.itemsize, matrix.n, len(ids))]
-    for section in (ids, absent, np.asarray(lengths, dtype="<u8")):
+    parts = [_HEAD.pack(MAGIC, len(matrix.levels), matrix.n, len(ids))]
+    for section in (ids, absent, np.asarray(lengths, dtype="<u8"), matrix.symbols.astype("<u4")):
         held = pack(section.tobytes())
         parts += [struct.pack("<Q", len(held)), held]
     for zeros, plane, before in matrix.levels:
@@ -139,11 +154,11 @@ def to_bytes(matrix: WaveletMatrix, doc_ids: list[int | None], lengths: np.ndarr
 def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
     """A shard's matrix, document ids and lengths."""
     unpack = zstandard.ZstdDecompressor().decompress
-    magic, n_levels, width, n, docs = _HEAD.unpack_from(data)
+    magic, n_levels, n, docs = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token shard")
     at, sections = _HEAD.size, []
-    for _ in range(3):
+    for _ in range(4):
         (size,) = struct.unpack_from("<Q", data, at)
         sections.append(unpack(data[at + 8 : at + 8 + size]))
         at += 8 + size
@@ -157,5 +172,4 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray
         before = np.frombuffer(unpack(data[at + bits : at + bits + ranks]), dtype="<u4")
         levels.append((zeros, plane, before))
         at += bits + ranks
-    kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
-    return WaveletMatrix(n, kind, levels), ids, np.frombuffer(sections[2], dtype="<u8").astype(np.int64)
+    return WaveletMatrix(n, np.frombuffer(sections[3], dtype="<u4"), levels), ids, np.frombuffer(sections[2], dtype="<u8").astype(np.int64)
