@@ -84,6 +84,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_chat": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), k AS (
+  SELECT conv_id, CAST(max(CASE WHEN contains(text, '### ') OR contains(text, '</turn>') OR contains(role, '### ')
+    OR contains(role, '</turn>') OR contains(role, ': ') THEN 1 ELSE 0 END) AS INTEGER) AS escape_level FROM c GROUP BY conv_id
+), t AS (
+  SELECT c.*, escape_level, CASE WHEN escape_level = 0 THEN text
+    ELSE replace(replace(replace(replace(text, '\\', '\\e'), '### ', '\\h'), '</turn>', '\\t'), ': ', '\\c') END AS shown
+  FROM c JOIN k USING (conv_id)
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  CAST(16 + sum(14 + length(role) + length(shown)) AS BIGINT) AS formatted_chars, any_value(escape_level) AS escape_level
+FROM t GROUP BY conv_id
+""".replace("\\\\", "\\"),
     "op7_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q

@@ -72,6 +72,8 @@ class Best:
 
     def add(self, first: int, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """Take a tile's scores; ``own`` marks the pairs of a query with itself."""
+        if scores.dtype == object:  # scores stop at the bounds of a long
+            scores = np.clip(scores, 1 - 2**63, 2**63 - 1)
         scores = scores.astype(np.int64)
         floor = self.floor[first : first + len(scores)]
         if scores.shape[1] > self.k:
@@ -139,7 +141,7 @@ def top_k(
     Returns (query_id, rank, vec_id, score), ties to the smaller vec_id. Rows without an id, and vectors that are null or
     hold null or non-finite components, take no part. Vectors of unequal length meet on their common components. Rows that
     repeat an id are candidates each; as queries the least of their vectors stands for them, and none of them is a
-    candidate of its own id. An empty table gives no rows.
+    candidate of its own id. Components and scores stop at the bounds of a long. An empty table gives no rows.
     """
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("q"), is_query.alias("is_query")
