@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -184,6 +185,12 @@ class Encoder:
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, end: int) -> Encoder:
+    """A worker's encoder: kept from task to task, with the pieces that it knows."""
+    return Encoder(path, end)
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0, shard: int = SHARD) -> DataFrame:
     """Encode ``docs`` (doc_id, text) in order of doc_id, write their shards below ``path`` and return that table.
 
@@ -195,7 +202,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0, shard
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, part = Encoder(tokenizer, end), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, end), TaskContext.get().partitionId()
         first = seq = held = 0
         doc_ids: list[int | None] = []
         parts: list[np.ndarray] = []
