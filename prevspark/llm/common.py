@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,18 @@ def own_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def columns_aside(keep: tuple[str, ...]):
+    """Lets an operator from documents to documents see only the columns ``keep`` by name, so that no other can clash."""
+
+    def around(operator):
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            names = docs.columns
+            inner = docs.toDF(*[c if c in keep else f"aside_{i}_" for i, c in enumerate(names)])
+            return operator(inner, *args, **kwargs).toDF(*names)
+
+        return run
+
+    return around

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prevspark.llm.common import WORD, store
+from prevspark.llm.common import WORD, columns_aside, store
 
 #: Words of a block; times a source may be read; weights of the sources in order, repeating.
 BLOCK, EPOCHS, WEIGHTS = 128, 3, (1, 2, 3)
@@ -139,6 +139,7 @@ def mixture(docs: DataFrame, block: int = BLOCK, seed: int = 7, epochs: int = EP
     )
 
 
+@columns_aside(("doc_id", "text", "source"))
 def mixed(
     docs: DataFrame, block: int = BLOCK, seed: int = 7, epochs: int = EPOCHS, broadcast_rows: int = 500_000
 ) -> DataFrame:

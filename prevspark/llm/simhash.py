@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prevspark.llm.common import store
+from prevspark.llm.common import columns_aside, store
 
 BITS = 64
 #: Codes of a leaf, and children of an upper node.
@@ -248,6 +248,7 @@ def near_duplicates(
     )
 
 
+@columns_aside(("doc_id", "text"))
 def one_of_each(docs: DataFrame, k: int = 4, shingle: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) without near duplicates: of each group one row stays.
 
