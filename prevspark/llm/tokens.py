@@ -24,7 +24,7 @@ from prevspark.llm.wavelet import WaveletMatrix, from_bytes, to_bytes
 #: Ids of a shard; documents are not split, so that the last one may exceed it.
 SHARD = 1 << 20
 #: Places of a worker's table of known pieces; characters that are cut at once.
-PLACES, GROUP = 1 << 21, 1 << 20
+PLACES, GROUP = 1 << 21, 1 << 19
 SHARDS = "part int, seq int, first long, n_tokens long, n_docs long, shard binary"
 
 #: Characters whose class is plain; a text with any other goes to the library whole.
@@ -91,7 +91,8 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys, self.values = np.zeros(PLACES, dtype=np.uint64), np.zeros(PLACES, dtype=np.int32)
-        self.offset, self.size = np.zeros(PLACES, dtype=np.int64), np.zeros(PLACES, dtype=np.int64)
+        room = PLACES * 6 // 10 + 1
+        self.offset, self.size = np.zeros(room, dtype=np.int32), np.zeros(room, dtype=np.int32)
         self.flat, self.used, self.n = np.zeros(1 << 20, dtype=self.id_type), 0, 0
 
     def hashes(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -120,7 +121,7 @@ class Encoder:
 
     def learn(self, wanted: np.ndarray, pieces: list[str]) -> None:
         """Encode new pieces; those without white space inside go to the library together, a line each."""
-        if self.n + len(pieces) > PLACES * 6 // 10:
+        if self.n + len(pieces) > len(self.size):
             self.forget()
         # a line each, unless a piece holds white space after its first character, or nothing else
         alone = np.array([LINE.fullmatch(p) is None for p in pieces], dtype=bool)
@@ -153,7 +154,8 @@ class Encoder:
 
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end, and how many each has."""
-        safe = [SAFE.fullmatch(t) is not None for t in texts]
+        # the different pieces of a text of that length are fewer than the table holds; the library takes longer ones whole
+        safe = [len(t) <= 4 * GROUP and SAFE.fullmatch(t) is not None for t in texts]
         joined = "\0".join(t if s else "" for t, s in zip(texts, safe)) + "\0"
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         starts = cuts(codes, self.kind[codes])
@@ -170,7 +172,7 @@ class Encoder:
                 return self.many(texts)
             at = self.places(wanted)
         value = self.values[at]
-        sizes = self.size[value]
+        sizes = self.size[value].astype(np.int64)
         sums = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.offset[value] - (sums - sizes), sizes) + np.arange(sums[-1])]
         ends = sums[codes[starts] == 0]
@@ -185,7 +187,7 @@ class Encoder:
         return np.concatenate(parts), np.array([len(x) for x in parts])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str, end: int) -> Encoder:
     """A worker's encoder: kept from task to task, with the pieces that it knows."""
     return Encoder(path, end)

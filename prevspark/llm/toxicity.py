@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,7 +40,7 @@ SHAPE = {
     "window_log": 17, "hash_log": 17, "chain_log": 17, "search_log": 3, "min_match": 4, "target_length": 16,
     "strategy": zstandard.STRATEGY_LAZY, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
 }
-#: Windows whose gains a worker remembers.
+#: Windows whose gains a task remembers.
 REMEMBERED = 400_000
 
 
@@ -133,7 +132,7 @@ class Model:
 
 
 class Gains:
-    """Bytes by which the toxic dictionary compresses a window better; a worker remembers the windows that it has met."""
+    """Bytes by which the toxic dictionary compresses a window better; a task remembers the windows that it has met."""
 
     def __init__(self, model: Model):
         shape = zstandard.ZstdCompressionParameters(**SHAPE)
@@ -167,12 +166,6 @@ class Gains:
         return [*top, np.log1p(hits), np.log1p(hits) - np.log1p(len(pieces))]
 
 
-@lru_cache(maxsize=2)
-def gains_of(toxic: bytes, ordinary: bytes) -> Gains:
-    """A worker's gains: kept from task to task."""
-    return Gains(Model(toxic, ordinary))
-
-
 def dictionaries(texts: list[str], toxic: np.ndarray) -> Model:
     told = telling(texts, toxic)
     words = Counter(w for t, y in zip(texts, toxic.tolist()) if y for w in set(windows(t, 1)))
@@ -228,7 +221,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gains = gains_of(model.toxic, model.ordinary) if model.weights else None
+        gains = Gains(model) if model.weights else None
         for batch in batches:
             if gains is None:
                 yield pd.Series(np.full(len(batch), model.share))
