@@ -62,7 +62,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat or nearly repeat an earlier line."""
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), whole=True)
 
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
