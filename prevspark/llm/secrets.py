@@ -1,7 +1,7 @@
 """Secret scans by patterns and a randomness battery, with DataFrame functions only.
 
-Patterns give the base spans. Beyond them, every long run of encoding characters is a candidate: its encoding is inferred from
-the characters that it holds, and three tests ask whether they are uniform (chi-squared), in no order (runs above and below the
+Patterns give the base spans. Beyond them, every long run of encoding characters is a candidate, or its parts are if no encoding
+has all of its characters: its encoding is inferred from the characters that it holds, and three tests ask whether they are uniform (chi-squared), in no order (runs above and below the
 middle of the alphabet) and without memory (serial correlation). A candidate that fits is kept if its characters repeat far
 less than those of text would: that p-value enters a Benjamini-Hochberg control over the candidates of all documents, weighted
 by length, on a histogram of p-values.
@@ -23,7 +23,11 @@ BASE = [
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # whole runs; shorter ones fail
 ]
 RANDOM = "random"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST, CANDIDATE = 20, r"[A-Za-z0-9+/_=-]{20,}"
+#: Runs of one encoding, what signs of equality that do not end a run leave, and such parts that mix two encodings.
+ALONE, BETWEEN, MIXED = r"^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)=*$", r"[A-Za-z0-9+/_-]+(?:=+$)?", r"[+/].*[_-]|[_-].*[+/]"
+#: The parts of a mixed part that either encoding allows; they may overlap.
+EITHER = (r"[A-Za-z0-9_-]+(?:=+$)?", r"[A-Za-z0-9+/]+(?:=+$)?")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: An encoding's pattern and alphabet, the narrowest first. Digits alone are no encoding.
 ENCODINGS = [
@@ -92,6 +96,36 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*[spans(order, *each) for order, each in enumerate(BASE)]))
 
 
+def candidates(text: Column) -> Column:
+    """(part, start, end) of the long runs of encoding characters, or of their long parts that one encoding allows."""
+
+    def inside(whole: Column, pattern: str) -> Column:
+        move = lambda x: F.struct(x["part"].alias("part"), (x["start"] + whole["start"]).alias("start"), (x["end"] + whole["start"]).alias("end"))
+        return F.transform(located(whole["part"], pattern), move)
+
+    def parts(run: Column) -> Column:
+        either = lambda p: F.array_distinct(F.concat(*[inside(p, x) for x in EITHER]))
+        each = F.transform(inside(run, BETWEEN), lambda p: F.when(p["part"].rlike(MIXED), either(p)).otherwise(F.array(p)))
+        return F.filter(F.flatten(each), lambda p: F.length(p["part"]) >= LEAST)
+
+    return F.flatten(F.transform(located(text, CANDIDATE), lambda c: F.when(c["part"].rlike(ALONE), F.array(c)).otherwise(parts(c))))
+
+
+def joined(spans: Column) -> Column:
+    """``spans`` (start, end), in order, with those that overlap made one."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        return F.when(last["end"] > s["start"], F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(s)))
+
+    def apart(x: Column) -> Column:
+        overlap = F.exists(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), lambda a, b: a["end"] > b["start"]), lambda y: F.coalesce(y, F.lit(False)))
+        return F.when(overlap, F.aggregate(x, F.array().cast("array<struct<start:bigint,end:bigint>>"), add)).otherwise(x)
+
+    return let(F.array_sort(spans), apart)
+
+
 def upper_tail(z: Column) -> Column:
     """Chance that a standard normal exceeds ``z``; by formula 7.1.26 of Abramowitz and Stegun, whose constants are fixed."""
     x = F.abs(z) / math.sqrt(2)
@@ -168,7 +202,7 @@ def scanned(docs: DataFrame, rate: float = RATE) -> DataFrame:
     kind. Random spans never overlap base spans. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    raw = F.transform(located(text, CANDIDATE), lambda c: F.struct(c["start"], c["end"], battery(c["part"]).alias("p")))
+    raw = F.transform(candidates(text), lambda c: F.struct(c["start"], c["end"], battery(c["part"]).alias("p")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base_spans(text).alias("base"), raw.alias("raw"))
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     weight = lambda c: F.log2((c["end"] - c["start"]).cast("double"))
@@ -183,7 +217,8 @@ def scanned(docs: DataFrame, rate: float = RATE) -> DataFrame:
     counts = each.groupBy(place(F.col("c")).alias("bin")).count().collect()  # LAST_BIN + 1 rows at most
     least = threshold([(r["bin"], r["count"]) for r in counts], rate) if counts else LAST_BIN + 1
     kept = F.filter("fit", lambda c: (c["random"] >= LEVEL) & (place(c) >= least))
-    added = F.transform(kept, lambda c: F.struct(
+    found = joined(F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    added = F.transform(found, lambda c: F.struct(
         c["start"].alias("start"), F.lit(len(BASE)).alias("order"), F.lit(RANDOM).alias("kind"), c["end"].alias("end")
     ))
     rows = rows.select("doc_id", "base", added.alias("added"))

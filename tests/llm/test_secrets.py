@@ -79,3 +79,22 @@ def test_edge_rows(spark):
     found = [(r.doc_id, r.spans) for r in secrets.scanned(docs).collect()]
     assert sorted(found, key=str) == sorted([(None, ""), (1, ""), (2, "assign:0:13"), (2, "assign:0:13")], key=str)
     assert secrets.scanned(docs.limit(0)).collect() == []
+
+
+def test_runs_that_fit_no_encoding_are_split(spark):
+    rng = random.Random(6)
+    plain_chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    around = [("AWS_SECRET_ACCESS_KEY=", 40, "+/"), ("PRIVATE_KEY=", 32, ""), ("io/v1/hook/sk_live_", 32, ""), ("a=b=", 44, "-_")]
+    rows, keys = [], []
+    for i in range(200):
+        before, size, more = around[i % 4]
+        key = "".join(rng.choice(plain_chars + more) for _ in range(size))
+        rows.append((i, f"é {before}{key}{'==' if i % 4 == 0 else ''} there"))
+        keys.append((2 + len(before), 2 + len(before) + size))
+    hit = [0] * 4
+    for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = sorted((int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "random")
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        start, end = keys[r.doc_id]
+        hit[r.doc_id % 4] += any(a <= start and end <= b for a, b in spans)
+    assert min(hit) > 40, hit
