@@ -1,8 +1,10 @@
-"""Toxicity by compression distance: two zstandard dictionaries, and how much better each compresses a window.
+"""Toxicity by compression distance: two zstandard dictionaries, and how much better one compresses a window than the other.
 
-The toxic dictionary is trained on the words of toxic documents that hold byte runs which ordinary documents lack, the
-ordinary one on windows of ordinary documents. Each window of a text is compressed with both; a document's largest gains and
-their number enter a logistic curve. That curve is calibrated on labelled documents that trained no dictionary.
+One dictionary is trained on ordinary documents, the other on toxic ones. Most of a toxic document is ordinary text, so that the
+toxic dictionary is trained twice: first on whole passages, by folds, which tells the windows that other toxic documents help to
+compress and ordinary ones do not; then on those windows. Every window of a text is compressed with both dictionaries. How
+many of its gains exceed thresholds, against what ordinary documents show, enters a logistic curve; thresholds and curve are
+calibrated on labelled documents that trained neither dictionary.
 """
 
 from __future__ import annotations
@@ -10,38 +12,38 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prevspark.llm.common import own_name
-
-#: Words of a window, and bytes saved from which a window counts as a hit.
-WORDS, HIT = 1, 3
-#: Twice the log-likelihood ratio that a telling opening reaches.
-SURPRISE = 15.0
-#: Least and largest bytes of a word's opening, the space before it included.
-OPENING = (4, 14)
-#: Share of the toxic documents that have a telling opening, at least.
-SUPPORT = 0.015
-#: Bytes of each dictionary, and windows that the ordinary one is trained on.
-TOXIC_BYTES, ORDINARY_BYTES, ORDINARY_WINDOWS = 8192, 32_768, 60_000
+from prevspark.llm.common import own_name, store
+
+#: Words of a window, words from one window to the next, words of a passage that the first dictionaries are trained on.
+WORDS, STEP, PASSAGE = 3, 1, 32
+#: Bytes of the dictionaries: of ordinary text, of toxic passages, of toxic windows.
+ORDINARY_BYTES, PASSAGE_BYTES, TOXIC_BYTES = 1 << 19, 1 << 19, 1 << 16
+#: Bytes of the segments that the trainer takes from passages and from windows, and of the runs whose frequency it counts.
+PASSAGE_SEGMENT, WINDOW_SEGMENT, RUN = 256, 40, 8
+#: One of so many sampled documents calibrates, the others train.
+PARTS = 4
+#: Folds of the toxic documents, and the share of their windows that trains the final dictionary.
+FOLDS, TOXIC_SHARE = 3, 0.05
 #: Bounds of the training sample: documents of each class, bytes of each class, bytes of a document.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = {0: 6000, 1: 3000}, 20_000_000, 1 << 18
-#: Ends both dictionaries and every window: the compressor does not look for matches in the last bytes of either, and with a
-#: match in every window it is past its headers and its least gain.
-TAIL, PAD = b"\n" * 64, b"\n" * 40
-#: Tables that hold every place of the dictionaries: gains are of a few bytes.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = {0: 6000, 1: 3000}, 12_000_000, 1 << 17
+#: Quantiles of the ordinary calibration documents' gains that serve as thresholds; ranks of gains that are features.
+QUANTILES, RANKS = (0.95, 0.98, 0.99, 0.995, 0.999), (0, 1, 2, 3, 4, 6, 8)
+#: Gains are counted in bytes from -SPAN to SPAN; windows that are compressed at once; characters that are cut at once.
+SPAN, AT_ONCE, SLICE = 32, 20_000, 1 << 20
+#: The best parse of small inputs; no headers, so that lengths are those of the content.
 SHAPE = {
-    "window_log": 17, "hash_log": 17, "chain_log": 17, "search_log": 3, "min_match": 4, "target_length": 16,
-    "strategy": zstandard.STRATEGY_LAZY, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
+    "window_log": 21, "hash_log": 20, "chain_log": 20, "search_log": 4, "min_match": 3, "target_length": 16,
+    "strategy": zstandard.STRATEGY_BTULTRA2, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
 }
-#: Windows whose gains a task remembers.
-REMEMBERED = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,53 +52,32 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, toxic) of a bounded sample of the labelled documents that are not held out, in a fixed order."""
-    marked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    marked = marked.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    marked = marked.withColumn("n", F.row_number().over(order))
-    # a row number bounds it: fewer rows than SAMPLE_DOCS allows
-    marked = marked.where((F.col("n") <= SAMPLE_DOCS[0]) & ((F.col("toxic") == 0) | (F.col("n") <= SAMPLE_DOCS[1])))
-    texts = docs.select(F.col("doc_id"), F.col("text")).where(F.octet_length("text") <= SAMPLE_TEXT)
-    found = texts.join(F.broadcast(marked), "doc_id")
-    so_far = Window.partitionBy("toxic").orderBy("n", "text")
-    found = found.withColumn("bytes", F.sum(F.octet_length("text")).over(so_far)).where(F.col("bytes") <= SAMPLE_BYTES)
-    rows = found.select("toxic", "n", "text").orderBy("toxic", "n", "text").collect()
-    return unlike([(r.text, r.toxic) for r in reversed(rows)])  # toxic ones first: of copies with unlike labels, toxic holds
-
-
-def windows(text: str, size: int = WORDS) -> list[bytes]:
-    """Runs of ``size`` words in lower case, with the spaces around them."""
-    words = text.lower().encode("utf-8", "surrogatepass").split()
-    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
-
-
-def openings(text: str) -> set[bytes]:
-    """What the words of ``text`` open with: their space and first bytes, up to their end and the space there."""
-    words = set(text.lower().encode("utf-8", "surrogatepass").split())
-    return {w[:n] for w in (b" " + w + b" " for w in words) for n in range(OPENING[0], min(len(w), OPENING[1]) + 1)}
-
-
-def telling(texts: list[str], toxic: np.ndarray) -> list[bytes]:
-    """Openings that far more toxic documents have than the ordinary ones suggest, the most frequent last.
+    """(text, toxic) of a bounded sample of the labelled documents that are not held out, in a fixed order.
 
-    Of openings that continue one another, the shortest stays, carried on while four fifths of its documents agree.
+    The least hashes of each class are taken: a threshold that leaves about twice as many keeps all others from being sorted.
+    Of rows that repeat an id the least text counts.
     """
-    seen = Counter(o for t, y in zip(texts, toxic.tolist()) if y for o in openings(t))
-    n1, n0 = int(toxic.sum()) + 1, int((1 - toxic).sum()) + 1
-    often = {o: n for o, n in seen.items() if n >= max(3, SUPPORT * n1)}
-    plain = Counter(o for t, y in zip(texts, toxic.tolist()) if not y for o in openings(t) & often.keys())
-    found = {}
-    for opening, n in often.items():
-        odds = np.log((n + 0.5) / n1) - np.log((plain[opening] + 0.5) / n0)
-        both = n + plain[opening]
-        surprise = 2 * sum(x * np.log(x * (n0 + n1) / (both * m)) for x, m in ((n, n1), (plain[opening], n0)) if x)
-        if odds > 2.5 and surprise > SURPRISE:
-            found[opening] = n
-    goes_on = {o[:-1] for o, n in found.items() if 5 * n >= 4 * found.get(o[:-1], 0)}
-    kept = found.keys() - goes_on
-    kept = [o for o in kept if not any(o[:n] in kept for n in range(OPENING[0], len(o)))]
-    return sorted(kept, key=lambda o: (found[o], o))
+    marked = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
+    marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    marked = store(marked.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))), "labelled")
+    found = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    ids = []
+    for y, n in SAMPLE_DOCS.items():
+        cut = (1 << 40) * min(1.0, 2 * n / max(1, found.get(y, 0)))
+        ids += marked.where((F.col("toxic") == y) & (F.col("h") < cut)).orderBy("h", "doc_id").limit(n).collect()
+    if not ids:
+        return []
+    # at most as many ids as SAMPLE_DOCS allows
+    chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic, i) for i, r in enumerate(ids)], "id_ long, toxic int, n int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_TEXT)
+    texts = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id_")).groupBy("n", "toxic").agg(F.min("text").alias("text"))
+    texts = store(texts, "sample")
+    sizes = texts.select("toxic", "n", F.octet_length("text").alias("size")).orderBy("n").toPandas()
+    last = [sizes.n[(sizes.toxic == y) & (sizes["size"][sizes.toxic == y].cumsum() <= SAMPLE_BYTES)].max() for y in SAMPLE_DOCS]
+    held = (F.col("toxic") == 0) & (F.col("n") <= int(last[0])) if last[0] == last[0] else F.lit(False)
+    held = held | (F.col("toxic") == 1) & (F.col("n") <= int(last[1])) if last[1] == last[1] else held
+    rows = texts.where(held).orderBy(F.desc("toxic"), "n").collect()  # toxic ones first: of copies with unlike labels, toxic holds
+    return unlike([(r.text, r.toxic) for r in rows])
 
 
 def unlike(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
@@ -113,68 +94,105 @@ def unlike(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
     return kept
 
 
-def dictionary(samples: list[bytes], size: int) -> bytes:
+def slices(text: str) -> Iterator[list[bytes]]:
+    """The words of ``text`` in lower case, a bounded slice at a time; each slice begins with the last words of the one before."""
+    at, left, tail = 0, "", []
+    while at < len(text) or left:
+        part = left + text[at : at + SLICE]
+        at += SLICE
+        left = ""
+        if at < len(text) and not part[-1].isspace():  # the last word may go on
+            cut = max(part.rfind(" "), part.rfind("\n")) + 1
+            part, left = (part[:cut], part[cut:]) if cut else (part, "")
+        words = tail + part.lower().encode("utf-8", "surrogatepass").split()
+        if words:
+            yield words
+        tail = words[len(words) - WORDS + 1 :] if len(words) >= WORDS else words
+
+
+def windows(words: list[bytes], size: int = 0, step: int = 0) -> list[bytes]:
+    """Runs of ``size`` words (WORDS), one from every ``step``-th word on (STEP), with the spaces around them."""
+    size, step = size or WORDS, step or STEP
+    return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, max(1, len(words) - size + step), step)] if words else []
+
+
+def passages(texts: list[str]) -> list[bytes]:
+    return [p for t in texts for w in slices(t) for p in windows(w, PASSAGE, PASSAGE)]
+
+
+def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     """A trained dictionary; the samples themselves where they are too few to train on."""
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=RUN).as_bytes()
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
+@lru_cache(maxsize=8)
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    """A worker keeps the digested dictionary from task to task."""
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=zstandard.ZstdCompressionParameters(**SHAPE))
+
+
+def lengths(content: bytes, pieces: list[bytes]) -> np.ndarray:
+    """Bytes that each piece takes under a dictionary."""
+    out = np.zeros(len(pieces), dtype=np.int64)
+    press = compressor(content).multi_compress_to_buffer if pieces else None
+    for at in range(0, len(pieces), AT_ONCE):
+        found = press(pieces[at : at + AT_ONCE])
+        out[at : at + len(found)] = [len(found[i]) for i in range(len(found))]
+    return out
+
+
 @dataclass
 class Model:
-    """Two dictionaries and the calibrated curve over a document's features."""
+    """Two dictionaries, the thresholds with the shares of ordinary gains above them, and the curve over a document's features."""
 
     toxic: bytes = b""
     ordinary: bytes = b""
+    thresholds: tuple[int, ...] = ()
+    above: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
     share: float = 0.0
 
 
-class Gains:
-    """Bytes by which the toxic dictionary compresses a window better; a task remembers the windows that it has met."""
-
-    def __init__(self, model: Model):
-        shape = zstandard.ZstdCompressionParameters(**SHAPE)
-        # the same text begins and ends both, so that a window without toxic words compresses alike
-        self.pair = [
-            zstandard.ZstdCompressor(
-                dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
-                compression_params=shape,
-            )
-            for raw in (model.ordinary + TAIL, model.ordinary + model.toxic + TAIL)
-        ]
-        self.known: dict[bytes, int] = {}
-
-    def __call__(self, pieces: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set(pieces).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            plain, toxic = (c.multi_compress_to_buffer([w + PAD for w in part]) for c in self.pair)
-            self.known.update((w, len(plain[i]) - len(toxic[i])) for i, w in enumerate(part))
-        return np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-
-    def features(self, text: str | None) -> list[float]:
-        """The largest gains, how many windows gain, and what share of all they are."""
-        pieces = windows(text or "")
-        gains = self(pieces)
-        best = np.sort(gains[gains > 0])[::-1]
-        hits = int((gains >= HIT).sum())
-        top = [float(best[i]) if len(best) > i else 0.0 for i in range(3)]
-        return [*top, np.log1p(hits), np.log1p(hits) - np.log1p(len(pieces))]
-
-
-def dictionaries(texts: list[str], toxic: np.ndarray) -> Model:
-    told = telling(texts, toxic)
-    words = Counter(w for t, y in zip(texts, toxic.tolist()) if y for w in set(windows(t, 1)))
-    words = sorted((n, w) for w, n in words.items() if n > 1 and w.startswith(tuple(told)))
-    # content-only: words that open so, the most frequent nearest to the text that follows, then what they open with
-    content = b"".join([w for _, w in words] + told)[-TOXIC_BYTES:]
-    plain = [w for t, y in zip(texts, toxic.tolist()) if not y for w in windows(t, 6)]
-    step = max(1, len(plain) // ORDINARY_WINDOWS)
-    return Model(content, dictionary(plain[::step] or [b" "], ORDINARY_BYTES))
+def gain_counts(model: Model, texts: list[str | None]) -> np.ndarray:
+    """How many windows of each text gain -SPAN, ..., SPAN bytes under the toxic dictionary."""
+    width = 2 * SPAN + 1
+    out = np.zeros((len(texts), width), dtype=np.int64)
+    pieces: list[bytes] = []
+    owner: list[np.ndarray] = []
+
+    def settle() -> None:
+        if pieces:
+            gains = np.clip(lengths(model.ordinary, pieces) - lengths(model.toxic, pieces), -SPAN, SPAN) + SPAN
+            np.add.at(out, (np.concatenate(owner), gains), 1)
+            pieces.clear()
+            owner.clear()
+
+    for i, text in enumerate(texts):
+        for words in slices(text or ""):
+            for at in range(0, max(1, len(words) - WORDS + 1), AT_ONCE):
+                part = windows(words[at : at + AT_ONCE + WORDS - 1])
+                pieces += part
+                owner.append(np.full(len(part), i))
+                if len(pieces) >= AT_ONCE:
+                    settle()
+    settle()
+    return out
+
+
+def features(model: Model, counts: np.ndarray) -> np.ndarray:
+    """Per text: its largest gains, how many exceed each threshold against chance and as such, their mean and number."""
+    n = counts.sum(axis=1)
+    bytes_ = np.arange(-SPAN, SPAN + 1)
+    upto = counts[:, ::-1].cumsum(axis=1)  # of the largest gains, how many are of so many bytes or more
+    top = [np.where(n > r, SPAN - (upto <= r).sum(axis=1), 0) for r in RANKS]
+    hits = np.stack([counts[:, bytes_ > t].sum(axis=1) for t in model.thresholds], axis=1)
+    expected = n[:, None] * np.array(model.above)
+    chance = (hits - expected) / np.sqrt(expected + 0.5)
+    mean = (counts @ bytes_) / np.maximum(n, 1)
+    return np.column_stack([*top, chance, np.log1p(hits), np.log1p(n), mean]).astype(float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -193,42 +211,75 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
     return np.r_[w[0] - slope @ x.mean(axis=0), slope]
 
 
+def telling_windows(toxic: list[str], ordinary: bytes) -> list[bytes]:
+    """The windows that dictionaries of other toxic documents compress better than the ordinary one, by the most.
+
+    Windows that documents share word for word are copied text, which tells nothing of what makes a text toxic.
+    """
+    held = Counter(run for t in toxic for run in {xxhash.xxh64_intdigest(w) for words in slices(t) for w in windows(words, step=1)})
+    copied = {run for run, n in held.items() if n > 1}
+    found: list[bytes] = []
+    gains: list[np.ndarray] = []
+    for fold in range(FOLDS):
+        others = passages([t for i, t in enumerate(toxic) if i % FOLDS != fold])
+        own = [w for i, t in enumerate(toxic) if i % FOLDS == fold for words in slices(t) for w in windows(words)]
+        own = [w for w in own if xxhash.xxh64_intdigest(w) not in copied]
+        if others and own:
+            gains.append(lengths(ordinary, own) - lengths(dictionary(others, PASSAGE_BYTES, PASSAGE_SEGMENT), own))
+            found += own
+    if not found:
+        return passages(toxic)
+    gain = np.concatenate(gains)
+    least = np.quantile(gain, 1 - TOXIC_SHARE)
+    return [w for w, g in zip(found, gain.tolist()) if g > least] or found
+
+
+def dictionaries(toxic: list[str], ordinary: list[str]) -> Model:
+    plain = dictionary(passages(ordinary) or [b" "], ORDINARY_BYTES, PASSAGE_SEGMENT)
+    return Model(dictionary(telling_windows(toxic, plain) or [b" "], TOXIC_BYTES, WINDOW_SEGMENT), plain)
+
+
 def fit(sample: list[tuple[str, int]]) -> Model:
-    """Dictionaries from two thirds of the sample, and the curve from the gains of the rest under those dictionaries.
+    """Dictionaries from most of the sample; thresholds and curve from the rest.
 
-    Without both classes there is nothing to compare: the score is the share of toxic labels, 0 without labels.
+    Without both classes there is nothing to compare: the score is the share of toxic labels, 0 without labels. With too few
+    documents for both parts, all serve both.
     """
     texts, toxic = [t for t, _ in sample], np.array([y for _, y in sample], dtype=np.int64)
     if len(set(toxic.tolist())) < 2:
         return Model(share=float(toxic.mean()) if len(toxic) else 0.0)
     rest = np.zeros(len(texts), dtype=bool)
     for y in (0, 1):  # both classes in both parts, as far as there are enough of each
-        rest[toxic == y] = np.arange((toxic == y).sum()) % 3 == 2
+        rest[toxic == y] = np.arange((toxic == y).sum()) % PARTS == PARTS - 1
+    train = ~rest
     if len(set(toxic[rest].tolist())) < 2:
-        rest[:] = True
-        model = dictionaries(texts, toxic)
-    else:
-        model = dictionaries([t for t, r in zip(texts, rest.tolist()) if not r], toxic[~rest])
-    gains = Gains(model)
-    x = np.array([gains.features(t) for t, r in zip(texts, rest.tolist()) if r])
-    model.weights = tuple(logistic(x, toxic[rest].astype(float)).tolist())
+        rest[:] = train[:] = True
+    model = dictionaries(*[[t for t, y, k in zip(texts, toxic.tolist(), train.tolist()) if k and y == c] for c in (1, 0)])
+    counts, y = gain_counts(model, [t for t, k in zip(texts, rest.tolist()) if k]), toxic[rest]
+    usual = counts[y == 0].sum(axis=0)
+    share = usual.cumsum() / max(1, usual.sum())
+    model.thresholds = tuple(int(np.searchsorted(share, q)) - SPAN for q in QUANTILES)
+    model.above = tuple(float(1 - share[min(t + SPAN, 2 * SPAN)]) for t in model.thresholds)
+    model.weights = tuple(logistic(features(model, counts), y.astype(float)).tolist())
     return model
 
 
+def scores(model: Model, texts: list[str | None]) -> np.ndarray:
+    """The chance, 0 to 1, that each text is toxic."""
+    if not model.weights:
+        return np.full(len(texts), model.share)
+    z = model.weights[0] + features(model, gain_counts(model, texts)) @ np.array(model.weights[1:])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a ``toxic_score`` in 0 to 1 of the whole text; null and empty texts are scored as texts without hits."""
+    """``docs`` with a ``toxic_score`` in 0 to 1 of the whole text; null and empty texts are scored as texts without windows."""
     name = own_name(docs, "toxic_score")
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        gains = Gains(model) if model.weights else None
         for batch in batches:
-            if gains is None:
-                yield pd.Series(np.full(len(batch), model.share))
-                continue
-            x = np.array([[1.0, *gains.features(t)] for t in batch]).reshape(len(batch), -1)
-            z = x @ np.array(model.weights) if len(batch) else np.zeros(0)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            yield pd.Series(scores(model, batch.tolist()))
 
     return docs.withColumn(name, score(F.col(text_col)))
 
@@ -250,7 +301,11 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is below one half, with the columns of ``docs``."""
+    """The rows of ``docs`` whose score is below one half, with the columns of ``docs``.
+
+    Null and empty texts are scored as texts without windows; rows that repeat, or have no doc_id, are scored each. An empty
+    table gives no rows; without labels of both classes the score is the share of toxic labels.
+    """
     model = fit(training_sample(docs, labels))
     scored = with_score(docs, model)
     return scored.where(F.col(scored.columns[-1]) < 0.5).select(*[scored[c] for c in docs.columns])
