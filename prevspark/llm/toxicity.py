@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from prevspark.llm.common import own_name, store
 
 #: Words of a window, words from one window to the next, words of a passage that the first dictionaries are trained on.
-WORDS, STEP, PASSAGE = 3, 1, 32
+WORDS, STEP, PASSAGE = 4, 2, 32
 #: Bytes of the dictionaries: of ordinary text, of toxic passages, of toxic windows.
 ORDINARY_BYTES, PASSAGE_BYTES, TOXIC_BYTES = 1 << 19, 1 << 19, 1 << 16
 #: Bytes of the segments that the trainer takes from passages and from windows, and of the runs whose frequency it counts.
 PASSAGE_SEGMENT, WINDOW_SEGMENT, RUN = 256, 40, 8
 #: One of so many sampled documents calibrates, the others train.
-PARTS = 4
+PARTS = 3
 #: Folds of the toxic documents, and the share of their windows that trains the final dictionary.
 FOLDS, TOXIC_SHARE = 3, 0.05
 #: Bounds of the training sample: documents of each class, bytes of each class, bytes of a document.
@@ -39,10 +39,10 @@ SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = {0: 6000, 1: 3000}, 12_000_000, 1 << 17
 QUANTILES, RANKS = (0.95, 0.98, 0.99, 0.995, 0.999), (0, 1, 2, 3, 4, 6, 8)
 #: Gains are counted in bytes from -SPAN to SPAN; windows that are compressed at once; characters that are cut at once.
 SPAN, AT_ONCE, SLICE = 32, 20_000, 1 << 20
-#: The best parse of small inputs; no headers, so that lengths are those of the content.
+#: An optimal parse of small inputs; no headers, so that lengths are those of the content.
 SHAPE = {
-    "window_log": 21, "hash_log": 20, "chain_log": 20, "search_log": 4, "min_match": 3, "target_length": 16,
-    "strategy": zstandard.STRATEGY_BTULTRA2, "write_content_size": False, "write_checksum": False, "write_dict_id": False,
+    "window_log": 21, "search_log": 4, "min_match": 3, "target_length": 16, "strategy": zstandard.STRATEGY_BTULTRA2,
+    "write_content_size": False, "write_checksum": False, "write_dict_id": False,
 }
 
 
@@ -130,8 +130,10 @@ def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
 
 @lru_cache(maxsize=8)
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
-    """A worker keeps the digested dictionary from task to task."""
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=zstandard.ZstdCompressionParameters(**SHAPE))
+    """A worker keeps the digested dictionary from task to task; its tables grow with it."""
+    bits = max(14, len(content).bit_length())
+    shape = zstandard.ZstdCompressionParameters(**SHAPE, hash_log=bits, chain_log=bits)
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=shape)
 
 
 def lengths(content: bytes, pieces: list[bytes]) -> np.ndarray:
