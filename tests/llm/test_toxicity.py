@@ -27,8 +27,8 @@ def test_held_out_accuracy(tables):
     held = found[found.held_out].merge(labels.toPandas(), on="doc_id")
     toxic, said = held.toxic == 1, held.predicted == 1
     # a sixth of these toxic labels mark texts without any sign of it, and 260 toxic documents train the dictionary
-    assert (toxic == said).mean() > 0.9
-    assert (toxic & said).sum() / said.sum() > 0.7 and (toxic & said).sum() / toxic.sum() > 0.2
+    figures = (toxic == said).mean(), (toxic & said).sum() / said.sum(), (toxic & said).sum() / toxic.sum()
+    assert figures > (0.9,) and figures[1] > 0.6 and figures[2] > 0.2, figures
 
 
 def test_held_out_labels_change_nothing(spark, tables):
