@@ -26,8 +26,59 @@ def test_alignment(seed):
     left, right = np.full((9, 30), -1), np.full((9, 12), -2)
     for r in range(9):
         left[r, : len(docs[r])], right[r, : len(items[r])] = docs[r], items[r]
-    score, _ = D.align(left, right)
-    assert score.tolist() == [plain_align(d, i) for d, i in zip(docs, items)]
+    score, first, end = (x.tolist() for x in D.align(left, right))
+    assert score == [plain_align(d, i) for d, i in zip(docs, items)]
+    for d, i, s, a, b in zip(docs, items, score, first, end):  # the words between hold the alignment, which is of equal words at both ends
+        assert plain_align(d[a:b], i) == s and (not s or d[a] in i and d[b - 1] in i)
+
+
+def plain_matches(docs, items):
+    """Every whole document against every item."""
+    out = set()
+    for d, text in docs:
+        words = D.words_of(text)
+        for i, item in items:
+            w = D.words_of(item)
+            if len(w) >= D.LEAST_WORDS and plain_align(words, w) >= len(w):
+                out.add((d, i))
+            if 0 < len(w) < D.LEAST_WORDS and any(words[k : k + len(w)] == w for k in range(len(words))):
+                out.add((d, i))
+    return out
+
+
+def test_all_pairs(spark):
+    """Random words of a small vocabulary, so that alignments arise by chance as well; items of every length."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bcdfgk") + rng.choice("aeiou") for _ in range(2))
+    items = [(i, " ".join(word() for _ in range(1 + i % 20))) for i in range(60)]
+    docs = []
+    for d in range(80):
+        text = [word() for _ in range(rng.randrange(0, 120))]
+        if d % 2:
+            text[len(text) // 3 : len(text) // 3] = items[d % 60][1].split()
+        docs.append((d, " ".join(text)))
+    found = D.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    truth = plain_matches(docs, items)
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert got <= truth and len(got) > 50
+    short = {i for i, t in items if len(t.split()) < D.LEAST_WORDS}
+    assert {p for p in truth if p[1] in short} <= got
+    assert {(d, d % 60) for d in range(1, 80, 2)} <= got  # whole copies
+    for r in found:
+        words, item = D.words_of(docs[r.doc_id][1]), D.words_of(items[r.item_id][1])
+        part = words[r.end_word - r.matched_words : r.end_word]
+        assert plain_align(part, item) == round(r.score * 2 * len(item))
+
+
+def test_columns(spark):
+    item = " ".join(f"w{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, "filler " * 50 + item + " end"), (2, "甲乙丙丁戊己庚辛壬癸子丑")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "乙丙丁戊己庚辛壬癸"), (3, "end"), (4, "w3 w4")], "item_id long, text string")
+    found = sorted(tuple(r) for r in D.matches(docs, bench).collect())
+    assert found == [(1, 1, 1.0, 10, 60), (1, 3, 1.0, 1, 61), (1, 4, 1.0, 2, 55), (2, 2, 1.0, 9, 10)]
+    # one or two words alone do not drop a document
+    only = bench.where("item_id >= 3")
+    assert D.without_matches(docs, only).count() == 2 and D.without_matches(docs, bench).count() == 0
 
 
 def test_planted(spark):
@@ -59,7 +110,8 @@ def test_blocks_find_the_same(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     whole = sorted(map(tuple, D.matches(docs, bench).select("doc_id", "item_id", "score").collect()))
-    monkeypatch.setattr(D, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(D, "BLOCK_BYTES", 1800)
+    monkeypatch.setattr(D, "CELLS", 500)
     assert sorted(map(tuple, D.matches(docs, bench).select("doc_id", "item_id", "score").collect())) == whole
 
 
