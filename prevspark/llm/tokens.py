@@ -68,8 +68,9 @@ def cuts(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of whole texts, each followed by ``end``.
 
-    The library encodes each piece once, as its byte-level model never merges across pieces; a piece is known again by a
-    64-bit hash of its characters.
+    The library encodes each piece once, as its byte-level model never merges across pieces. A piece is looked up by a 64-bit
+    hash of its characters, and its characters are compared with those of the piece that the table holds: a text in which
+    any differ goes to the library whole.
     """
 
     def __init__(self, path: str, end: int = 0):
@@ -94,6 +95,8 @@ class Encoder:
         room = PLACES * 6 // 10 + 1
         self.offset, self.size = np.zeros(room, dtype=np.int32), np.zeros(room, dtype=np.int32)
         self.flat, self.used, self.n = np.zeros(1 << 20, dtype=self.id_type), 0, 0
+        self.spelt, self.letters = np.zeros(room, dtype=np.int64), np.zeros(room, dtype=np.int64)
+        self.text, self.written = np.zeros(1 << 20, dtype=np.uint16), 0
 
     def hashes(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A polynomial over the characters of each piece, from a running sum over all."""
@@ -142,7 +145,14 @@ class Encoder:
         while self.used + len(new) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
         self.flat[self.used : self.used + len(new)] = new
+        spelling = np.frombuffer("".join(pieces).encode("utf-16-le"), dtype=np.uint16)  # SAFE characters take one unit each
+        while self.written + len(spelling) > len(self.text):
+            self.text = np.r_[self.text, np.zeros_like(self.text)]
+        self.text[self.written : self.written + len(spelling)] = spelling
         rows = slice(self.n, self.n + len(sizes))
+        self.letters[rows] = [len(p) for p in pieces]
+        self.spelt[rows] = self.written + np.cumsum(self.letters[rows]) - self.letters[rows]
+        self.written += len(spelling)
         self.size[rows], self.offset[rows] = sizes, self.used + np.cumsum(sizes) - sizes
         self.used, value = self.used + len(new), np.arange(self.n, self.n + len(sizes), dtype=np.int32)
         self.n += len(sizes)
@@ -152,6 +162,13 @@ class Encoder:
             self.keys[at], self.values[at] = wanted[left], value[left]
             left = left[self.keys[at] != wanted[left]]
 
+    def strange(self, codes: np.ndarray, starts: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Which pieces are spelt otherwise than those that the table holds at ``value``."""
+        lengths = np.diff(np.r_[starts, len(codes)])
+        at = np.repeat(self.spelt[value] - starts, lengths) + np.arange(len(codes))
+        unlike = self.text[np.minimum(at, len(self.text) - 1)] != codes
+        return (self.letters[value] != lengths) | np.logical_or.reduceat(unlike, starts)
+
     def many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with its end, and how many each has."""
         # the different pieces of a text of that length are fewer than the table holds; the library takes longer ones whole
@@ -172,6 +189,11 @@ class Encoder:
                 return self.many(texts)
             at = self.places(wanted)
         value = self.values[at]
+        strange = np.flatnonzero(self.strange(codes, starts, value))
+        if len(strange):
+            last = np.flatnonzero(codes[starts] == 0)  # the piece that ends each text
+            for k in np.unique(np.searchsorted(last, strange)).tolist():
+                safe[k] = False
         sizes = self.size[value].astype(np.int64)
         sums = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.offset[value] - (sums - sizes), sizes) + np.arange(sums[-1])]
@@ -197,7 +219,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0, shard
     """Encode ``docs`` (doc_id, text) in order of doc_id, write their shards below ``path`` and return that table.
 
     Each document's ids are followed by ``end``. Null texts count as empty; null ids come first; rows that repeat an id
-    follow each other by text.
+    follow each other by text, whose beginning also parts them among tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +261,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0, shard
         if parts:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(run, SHARDS).write.parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.substring("text", 1, 24).alias("head"))
+    rows = rows.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "text")
+    rows.select("doc_id", "text").mapInArrow(run, SHARDS).write.parquet(path)
     return docs.sparkSession.read.schema(SHARDS).parquet(path)
 
 
@@ -283,7 +305,11 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str, end: int = 0, shard: int = SHARD) -> DataFrame:
-    """Write the shards of ``docs`` to the shared folder and read the documents' places and checksums back."""
+    """Write the shards of ``docs`` to the shared folder and read the documents' places and checksums back.
+
+    One row for each row of ``docs``: null and empty texts have the end id alone, rows that repeat have a place each, and an
+    empty table gives no rows. Other columns of ``docs`` are not read.
+    """
     path = scratch(docs.sparkSession, "token_shards")
     return read_documents(write_shards(docs, path, tokenizer, end, shard))
 

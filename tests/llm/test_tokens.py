@@ -45,6 +45,29 @@ def test_encoder_equals_library():
             assert found.tolist() == plain.encode(text, add_special_tokens=False).ids + [0], repr(text)
 
 
+@pytest.mark.parametrize("size", [512, 1024, 2048, 4096])
+def test_pieces_of_one_hash(size):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2^64 from 1,024 letters on."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(size))
+    other = word.translate(str.maketrans("ab", "ba"))
+    plain = Tokenizer.from_file(PATH)
+    for some in ([word, other], [f"it's {other} and", f"so {word} 12", "clean"], [word + " " + other], [other, word]):
+        encode = tokens.Encoder(PATH)
+        for _ in range(2):
+            ids, lengths = encode.many(some)
+            for text, found in zip(some, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+                assert found.tolist() == plain.encode(text, add_special_tokens=False).ids + [0]
+
+
+def test_texts_beyond_the_table():
+    plain, encode = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
+    long = "".join(f"w{k % 7919} it's {k % 13},\n" for k in range(150_000))
+    assert len(long) > 4 * tokens.GROUP
+    ids, lengths = encode.many(["before", long, "after it"])
+    expected = [plain.encode(t, add_special_tokens=False).ids + [0] for t in ("before", long, "after it")]
+    assert lengths.tolist() == [len(x) for x in expected] and ids.tolist() == sum(expected, [])
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "PLACES", 256)
     plain, encode = Tokenizer.from_file(PATH), tokens.Encoder(PATH)
