@@ -17,6 +17,8 @@ from prevspark.llm.common import WORD, columns_aside, store
 BLOCK, EPOCHS, WEIGHTS = 128, 3, (1, 2, 3)
 #: Rows, slots and parts of the cumulative weights that one sort takes.
 PIECE, CHUNK, BUCKETS = 1 << 14, 1 << 16, 1 << 12
+#: Slots of a partition of the mix.
+SPREAD = 1 << 15
 #: 2^31 divided by the golden ratio, rounded to an odd number: points step * t modulo 2^31.
 GOLDEN, CIRCLE = 1327217885, 1 << 31
 
@@ -110,11 +112,10 @@ def lined_up(docs: DataFrame, seed: int, epochs: int) -> tuple[DataFrame, DataFr
     return sources, prefix(named, ["source_id"], "piece", order, "size", "at")
 
 
-def mixture(docs: DataFrame, block: int = BLOCK, seed: int = 7, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source).
+def planned(docs: DataFrame, block: int, seed: int, epochs: int) -> DataFrame:
+    """(doc_id, size, source_size, target, reads) of every row of ``docs``: ``reads`` is (slot, words) of each reading, by slot.
 
-    Null texts have size 0 and are not taken. Rows that repeat a doc_id count each; a null source is a source of its own. An
-    empty table gives no rows. ``taken`` adds up to a source's target, rounded to whole words.
+    A reading's slot is the first that takes a block with a word of it; null where the mix takes nothing.
     """
     sources, lined = lined_up(docs, seed, epochs)
     whole = F.floor(F.col("target") + 0.5).cast("long")
@@ -129,13 +130,29 @@ def mixture(docs: DataFrame, block: int = BLOCK, seed: int = 7, epochs: int = EP
     read = read.withColumn("b", F.least(F.col("a") + F.col("size"), F.col("whole"))).where("a < b")
     parts = read.withColumn("rank", F.explode(F.sequence((F.col("a") / block).cast("long"), ((F.col("b") - 1) / block).cast("long"))))
     inside = F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block)
-    parts = parts.select("source_id", "at", "rank", inside.alias("part"))
-    taken = parts.join(schedule, ["source_id", "rank"]).groupBy("source_id", "at").agg(F.sum("part").alias("got"))
-    return lined.join(
-        taken, ["source_id", "at"], "left"  # one document with words lies there; those without any take nothing
-    ).select(
-        "doc_id", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.coalesce("got", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"),
+    parts = parts.select("source_id", "at", "turn", "rank", inside.alias("part")).join(schedule, ["source_id", "rank"])
+    of = lambda t, c: F.when(F.col("turn") == t, F.col(c))
+    each = [x for t in range(epochs) for x in (F.min(of(t, "slot")).alias(f"slot{t}"), F.sum(of(t, "part")).alias(f"words{t}"))]
+    taken = parts.groupBy("source_id", "at").agg(*each)
+    reads = F.array(*[F.struct(F.col(f"slot{t}").alias("slot"), F.col(f"words{t}").alias("words")) for t in range(epochs)])
+    taken = taken.select("source_id", "at", F.sort_array(F.filter(reads, lambda r: r["slot"].isNotNull())).alias("reads"))
+    # one document with words lies at each place; those without any take nothing
+    return lined.join(taken, ["source_id", "at"], "left").select(
+        "doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("reads")).alias("reads")
+    )
+
+
+def mixture(docs: DataFrame, block: int = BLOCK, seed: int = 7, epochs: int = EPOCHS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, first_slot) of every row of ``docs`` (doc_id, text, source).
+
+    Null texts have size 0 and are not taken. Rows that repeat a doc_id count each; a null source is a source of its own. An
+    empty table gives no rows. ``taken`` adds up to a source's target, rounded to whole words; ``first_slot`` is the slot of
+    the schedule at which the mix comes to the document first, null if it never does.
+    """
+    taken = F.aggregate("reads", F.lit(0).cast("long"), lambda s, r: s + r["words"])
+    return planned(docs, block, seed, epochs).select(
+        "doc_id", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"),
+        F.get(F.col("reads"), F.lit(0))["slot"].alias("first_slot"),
     )
 
 
@@ -143,28 +160,30 @@ def mixture(docs: DataFrame, block: int = BLOCK, seed: int = 7, epochs: int = EP
 def mixed(
     docs: DataFrame, block: int = BLOCK, seed: int = 7, epochs: int = EPOCHS, broadcast_rows: int = 500_000
 ) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each row as often as it is taken whole, and once more cut to its last part.
+    """The mix itself, with the columns of ``docs``: a row for each reading, in the order of the schedule's slots.
 
-    At most one document of a source is cut: after the words that its source still takes. Up to
-    ``broadcast_rows`` rows of what is taken are broadcast; more are shuffled.
+    Partitions follow one another in that order, SPREAD slots each. At most one reading of a source is cut: after the words that its source
+    still takes. Rows without words are not in the mix. Up to ``broadcast_rows`` rows of what is taken are broadcast; more
+    are shuffled.
     """
-    taken = mixture(docs, block, seed, epochs).where("taken > 0")
-    taken = taken.select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.col("taken").alias("taken_"))
+    taken = planned(docs, block, seed, epochs).where("size(reads) > 0")
+    taken = taken.select(F.col("doc_id").alias("id_"), F.col("size").alias("size_"), F.col("reads").alias("reads_"))
     taken = store(taken, "taken")
     rows = docs.withColumn("key_", F.col("doc_id").cast("long"))
     if taken.groupBy("id_").count().where("count > 1 or id_ is null").limit(1).count():
         # rows that repeat a doc_id stand in for one another, by size
         rows = rows.withColumn("words_", words(F.col("text"))).where("words_ > 0")
         rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("key_", "words_").orderBy(F.xxhash64("text"))))
-        taken = taken.withColumn("n_", F.row_number().over(Window.partitionBy("id_", "size_").orderBy(F.desc("taken_"))))
+        taken = taken.withColumn("n_", F.row_number().over(Window.partitionBy("id_", "size_").orderBy(F.desc("reads_"))))
         same = rows["key_"].eqNullSafe(taken["id_"]) & (rows["words_"] == taken["size_"]) & (rows["n_"] == taken["n_"])
     else:
         taken = F.broadcast(taken) if taken.count() <= broadcast_rows else taken
         same = rows["key_"] == taken["id_"]
-    copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken_") / F.col("size_")).cast("int")))
-    out = rows.join(taken, same).select(*[rows[c] for c in docs.columns], "size_", "taken_")
-    out = out.withColumn("copy_", copies)
-    left = F.col("taken_") - (F.col("copy_") - 1) * F.col("size_")
+    out = rows.join(taken, same).select(*[rows[c] for c in docs.columns], "size_", F.explode("reads_").alias("read_"))
     pieces = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    cut = F.when(left < F.col("size_"), F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")).otherwise(F.col("text"))
+    short = F.col("read_.words") < F.col("size_")
+    cut = F.when(short, F.array_join(F.slice(pieces, F.lit(1), F.col("read_.words").cast("int")), "")).otherwise(F.col("text"))
+    last = taken.agg(F.max(F.element_at("reads_", -1)["slot"])).first()[0] or 0
+    out = out.withColumn("slot_", F.col("read_.slot"))
+    out = out.repartitionById(int(last) // SPREAD + 1, (F.col("slot_") / SPREAD).cast("int")).sortWithinPartitions("slot_")
     return out.select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns])

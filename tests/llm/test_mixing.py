@@ -1,8 +1,10 @@
 """Mixing: targets against the plain rule, exact totals, the schedule's evenness, and the mix's rows."""
 
 import random
+import struct
 
 import pytest
+import xxhash
 
 from prevspark.llm import mixing
 
@@ -67,6 +69,63 @@ def test_whole_table(spark):
     assert got == {r.doc_id: r.taken for r in rows if r.taken}
 
 
+def plain_mix(docs, block, seed=7, epochs=3):
+    """(taken, first slot) of every (doc_id, source, size): golden points fill slots, a source's line fills its blocks."""
+    sizes = {}
+    for _, s, n in docs:
+        sizes[s] = sizes.get(s, 0) + n
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    whole = {s: min(int(t + 0.5), epochs * sizes[s]) for s, t in plain_targets(sizes).items()}
+    need = {s: -(-whole[s] // block) for s in names}
+    n, low, at = sum(need.values()), {}, 0
+    for s in names:
+        low[s], at = at, at + need[s]
+    slot_of, have = {}, dict.fromkeys(names, 0)
+    for t in range(n):
+        u = (t + 1) % mixing.CIRCLE * mixing.GOLDEN % mixing.CIRCLE / mixing.CIRCLE * n
+        s = max((x for x in names if need[x] and low[x] <= u), key=lambda x: low[x])
+        slot_of[s, have[s]] = t
+        have[s] += 1
+    late = [(s, r) for s in names for r in range(have[s], need[s])]
+    slot_of |= {key: n + i for i, key in enumerate(late)}
+    out = {}
+    for s in names:
+        key = lambda d: xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(struct.pack("<q", d), 42))
+        at = 0
+        for d, _, size in sorted((x for x in docs if x[1] == s), key=lambda x: key(x[0]) - (1 << 64) * (key(x[0]) >> 63)):
+            taken, first = 0, None
+            for turn in range(epochs):
+                a, b = turn * sizes[s] + at, min(turn * sizes[s] + at + size, whole[s])
+                if a < b:
+                    taken += b - a
+                    here = min(slot_of[s, r] for r in range(a // block, (b - 1) // block + 1))
+                    first = here if first is None else min(first, here)
+            out[d] = (taken, first)
+            at += size
+    return out
+
+
+@pytest.mark.parametrize("block", [8, 128])
+def test_the_schedule_is_the_plain_one(spark, block):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    plain = [(r.doc_id, r.source, len((r.text or "").encode().split())) for r in docs.collect()]
+    expected = plain_mix(plain, block)
+    rows = mixing.mixture(docs, block=block)
+    assert {r.doc_id: (r.taken, r.first_slot) for r in rows.collect()} == expected
+
+
+def test_the_mix_follows_the_schedule(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD", 256)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    slot = {r.doc_id: r.first_slot for r in mixing.mixture(docs).collect()}
+    seen, order = set(), []
+    for r in mixing.mixed(docs).collect():
+        if r.doc_id not in seen:
+            order.append(slot[r.doc_id])
+            seen.add(r.doc_id)
+    assert order == sorted(order) and len(order) > 500
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "a", 0), (2, "", "a", 0), (3, "one two", None, 0), (3, "one two", None, 1), (3, "x", None, 1), (None, "p q r", "b", 0),
             (4, "w " * 3000, "c", 0), (5, "\tz\x0b", "only", 0), (6, None, "empty", 0)]
