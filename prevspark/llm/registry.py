@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prevspark.llm import chat, decontaminate, lines, mixing, secrets, sharding, simhash, tokens, topk, toxicity
-from prevspark.llm.common import table
+from prevspark.llm.common import scratch, table
 
 
 def tokenizer_path() -> str:
@@ -25,7 +25,10 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that quotes the template, formatted and read back."""
     quoted = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    turn = lambda n, role: F.struct(
+        F.lit(-7).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(quoted).alias("text")
+    )
+    extra = spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
     return chat.round_trip(rows.unionByName(extra))
 
 
@@ -67,7 +70,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and place of every document, by virtual slots and their bytes."""
-    return sharding.sharded(table(spark, sf_dir, "documents"))
+    return sharding.sharded(table(spark, sf_dir, "documents"), map_path=scratch(spark, "slot_maps"))
 
 
 QUERIES = {

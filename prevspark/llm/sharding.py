@@ -7,10 +7,11 @@ that go beyond, the largest first, move to the shard with the fewest bytes. Data
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from prevspark.llm.common import store
+from prevspark.llm.common import scratch, store
 
 #: Virtual slots, fixed for the life of a data set; bytes that a record takes besides its text.
 SLOTS, OVERHEAD = 8192, 16
@@ -84,14 +85,43 @@ def rebalanced(tally: DataFrame, shards: int, previous: DataFrame | None = None,
     return placed(slots.select("vslot", "bytes", "rows", kept.alias("shard")), shards).withColumn("version", F.lit(version))
 
 
-def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, previous: DataFrame | None = None) -> DataFrame:
+def save_map(slot_map: DataFrame, path: str) -> int:
+    """Add a version of the slot map to those below ``path``, and return its number; versions that are there stay."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    if version is not None:
+        slot_map.select("vslot", "bytes", "rows", "shard").coalesce(1).write.parquet(f"{path}/version={version}")
+    return version or 0
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The slot map below ``path`` of a version, or the latest; none if there is none."""
+    kept = spark.read.schema("vslot int, bytes long, rows long, shard int, version int")
+    try:
+        maps = kept.parquet(path)
+        latest = maps.agg(F.max("version")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    if latest is None:
+        return None
+    return maps.where(F.col("version") == (latest if version is None else version)).select("version", "vslot", "bytes", "rows", "shard")
+
+
+def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, version) of every row of ``docs`` (doc_id, text).
 
     The law is ``bytes``: shards are near equal in size. ``slot`` is the row's place in its shard, gapless from 0: rows of a
     virtual slot follow one another. Null texts count as empty, rows that repeat stay, an empty table gives no rows.
+
+    The map that the rows are placed by is read back from ``map_path``: if versions of it are there, the latest is edited
+    for these rows and shards and saved as the next one, else version 1 is. Rows that are equal in id and text share a slot.
     """
+    path = map_path or scratch(docs.sparkSession, "slot_maps")
     rows = store(sized(docs, slots), "sized")
-    held = store(rebalanced(tallied(rows), shards, previous), "slot_map")
+    previous = load_map(docs.sparkSession, path)
+    version = save_map(store(rebalanced(tallied(rows), shards, previous), "slot_map"), path)
+    held = load_map(docs.sparkSession, path, version) if version else rows.select("vslot").limit(0).selectExpr("0 as version", "vslot", "0L as bytes", "0L as rows", "0 as shard")
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     places = held.select("vslot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")

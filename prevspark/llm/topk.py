@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from prevspark.llm.common import store
 
-#: Queries that are held in each task at once.
-BLOCK = 2048
+#: Bytes of the queries that are held in each task at once; each block of queries is one pass over the rows.
+BLOCK_BYTES = 1 << 25
 #: Queries and rows of one dense score array; small enough for a core's cache.
 TILE_QUERIES, TILE_ROWS = 256, 512
 
@@ -134,7 +134,7 @@ def top_k(
     k: int = 5,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """The ``k`` rows of highest integer inner product for each row that ``is_query`` holds for.
 
@@ -147,7 +147,8 @@ def top_k(
         F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col)).alias("q"), is_query.alias("is_query")
     ).where("vec_id is not null and q is not null")
     queries = rows.where("is_query").groupBy("vec_id").agg(F.min("q").alias("q"))
-    n = queries.count()
+    n, dims = queries.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+    block = block or max(1, BLOCK_BYTES // (8 * max(1, dims)))
     blocks = max(1, -(-n // block))
     found = []
     for b in range(blocks):
@@ -157,7 +158,6 @@ def top_k(
             continue
         ids = held.column("vec_id").to_numpy()
         lists = held.column("q").combine_chunks()
-        dims = int(max(lists.value_lengths().to_pylist(), default=0))
         part = search_block(rows.select("vec_id", "q"), ids, dense(lists, dims), k)
         found.append(store(part, "top") if blocks > 1 else part)
     if not found:

@@ -1,7 +1,9 @@
 """Sharding: balance, gapless places, rebalancing that moves little, edge rows."""
 
+import struct
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from prevspark.llm import sharding
@@ -25,6 +27,47 @@ def test_whole_table(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, sharding.sharded(docs.repartition(5)).collect()))
 
 
+def plain_shards(docs, shards, slots, held=None):
+    """(shard, place) of every (doc_id, text): slots by hash, the largest slot first to the lightest shard."""
+    key = lambda d, t: xxhash.xxh64_intdigest(struct.pack("<q", zlib.crc32(t)), xxhash.xxh64_intdigest(struct.pack("<q", d), 42))
+    slot = {d: (key(d, t) - (1 << 64) * (key(d, t) >> 63)) % slots for d, t in docs.items()}
+    load, own, size = [0] * shards, {}, {}
+    for d, t in docs.items():
+        size[slot[d]] = [size.get(slot[d], [0, 0])[0] + len(t) + 16, size.get(slot[d], [0, 0])[1] + 1]
+    for v in sorted(size, key=lambda v: (-size[v][0], -size[v][1], v)):
+        own[v] = load.index(min(load))
+        load[own[v]] += size[v][0]
+    rows, place = {}, [0] * shards
+    for v in sorted(size):
+        for d in sorted(d for d in docs if slot[d] == v):
+            rows[d] = (own[v], place[own[v]])
+            place[own[v]] += 1
+    return rows
+
+
+def test_places_are_those_of_the_plain_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.sharded(docs).collect()} == plain_shards(texts, 40, sharding.SLOTS)
+    few = {d: t for d, t in texts.items() if d % 3 == 0}
+    found = sharding.sharded(docs.where("doc_id % 3 = 0"), shards=7, slots=64)
+    assert {r.doc_id: (r.shard, r.slot) for r in found.collect()} == plain_shards(few, 7, 64)
+
+
+def test_a_stored_map_is_edited(spark, tmp_path):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")).alias("text"))
+    path = str(tmp_path / "maps")
+    assert sharding.load_map(spark, path) is None
+    first = {r.doc_id: (r.vslot, r.shard, r.version) for r in sharding.sharded(docs, 10, 500, path).collect()}
+    second = {r.doc_id: (r.vslot, r.shard, r.version) for r in sharding.sharded(docs, 11, 500, path).collect()}
+    assert {v for _, _, v in first.values()} == {1} and {v for _, _, v in second.values()} == {2}
+    moved = {d for d in first if first[d][1] != second[d][1]}
+    assert {second[d][1] for d in moved} >= {10} and len(moved) < 0.2 * len(first)
+    assert {r.vslot: r.shard for r in sharding.load_map(spark, path, 1).collect()} == {v: s for v, s, _ in first.values()}
+    assert {r.version for r in sharding.load_map(spark, path).collect()} == {2}
+    assert sharding.sharded(docs.limit(0), map_path=path).collect() == []
+
+
 def test_rebalancing_moves_what_it_must(spark):
     rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")).alias("text"))
     tally = sharding.tallied(sharding.sized(rows, 1000))
