@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from prevspark.operators import methods as Q
 from prevspark.operators import protocols as P
 from prevspark.operators.classifiers import SqlScorer
+from prevspark.plans import drivers as D
 from prevspark.plans import evaluate as V
 from prevspark.sources import tables
 from prevspark.streaming.windowed import window_prevalences
@@ -55,7 +56,9 @@ def test_protocols():
 
 def test_split_and_bootstrap(rows):
     a, b, c = P.split(rows, "id", 1000)
-    assert a.count() + b.count() + c.count() == 3000 and abs(a.count() - 1000) < 120 and abs(b.count() - c.count()) < 160
+    assert (a.count(), b.count(), c.count()) == (1000, 1000, 1000)
+    assert a.unionByName(b).unionByName(c).select("id").distinct().count() == 3000
+    assert [x.count() for x in P.split(rows, "id", 2999)] == [2999, 0, 1] and [x.count() for x in P.split(rows, "id", 0)] == [0, 1500, 1500]
     drawn = P.bootstrap(rows, 20).groupBy("replicate").count().collect()
     assert len(drawn) == 20 and all(abs(r["count"] - 3000) < 300 for r in drawn)
 
@@ -111,3 +114,47 @@ def test_windows(spark, rows, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.window.start, r.n) for r in spark.table("windows").collect()} == {(r.window.start, r.n) for r in batch}
+
+
+def test_bags_have_their_prevalences(rows):
+    p = np.array([[0.9, 0.06, 0.04], [0.2, 0.3, 0.5]])
+    drawn = V.bags(rows, "label", "id", 1500, p, seed=3)
+    counts = {(r.bag, r.label): (r["count"], r.ids) for r in drawn.groupBy("bag", "label").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids")).collect()}
+    assert counts == {(0, 0): (1350, 1000), (0, 1): (90, 90), (0, 2): (60, 60), (1, 0): (300, 300), (1, 1): (450, 450), (1, 2): (750, 750)}
+    assert set(drawn.columns) == {*rows.columns, "bag", "p_true"}
+    with pytest.raises(P.ExhaustedClassException):
+        V.bags(rows.where("label <> 2"), "label", "id", 10, p)
+
+
+def test_methods_share_what_is_equal(rows):
+    scorer = SqlScorer(SCORER, 3)
+    fitted = V.fit_together({"cc": Q.CC(scorer), "acc": Q.ACC(scorer, strategy="pinv"), "soft": Q.ACC(scorer), "pacc": Q.PACC(scorer), "sld": Q.SLD(scorer)}, rows)
+    assert fitted["cc"].transformer is fitted["acc"].transformer is fitted["soft"].transformer is not fitted["pacc"].transformer
+    assert np.isfinite(fitted["acc"].M).all() and fitted["soft"].M is fitted["acc"].M
+    bags = V.bags(rows, "label", "id", 200, P.app(3, 4), seed=1)
+    alone = {n: m.fit(rows) for n, m in {"cc": Q.CC(scorer), "soft": Q.ACC(scorer), "sld": Q.SLD(scorer)}.items()}
+    together = {(r.bag, r.method): r.ae for r in V.evaluate(fitted, bags, 200).collect()}
+    for r in V.evaluate(alone, bags, 200).collect():
+        assert together[r.bag, r.method] == pytest.approx(r.ae)
+
+
+def test_rounded_protocols():
+    p = np.array([0.5, 0.3, 0.2])
+    assert P.npp(p, 10, 3).tolist() == [[0.5, 0.3, 0.2]] * 3
+    for drawn in (P.app(3, 50, n=40), P.app_oq(3, 10, 0.2, n=40), P.poisson(40, p, 50)):
+        assert np.allclose(drawn * 40, np.round(drawn * 40)) and np.allclose(drawn.sum(axis=1), 1) and drawn.min() >= 1 / 40
+    five = P.app_oq(5, 10, 0.2, n=40)
+    assert P.roughness(five).max() <= np.sort(P.roughness(P.app(5, 50, n=40)))[9] + 1e-12
+
+
+def test_studies(spark, rows, tmp_path):
+    scorer = SqlScorer(SCORER, 3)
+    found = D.compare({1.0: lambda: {"cc": Q.CC(scorer)}, 2.0: lambda: {"acc": Q.ACC(scorer, strategy="pinv")}}, rows, rows, "id", 100, P.app(3, 3))
+    assert {(r.setting, r.method) for r in found.collect()} == {(1.0, "cc"), (2.0, "acc")}
+    table = {(r.protocol, r.measure): r["mean"] for r in D.protocol_table(spark, [100], 40, np.ones(5) / 5, np.arange(1.0, 6) / 15, np.ones(5)).collect()}
+    assert len(table) == 14 and table["NPP (simulation)", "nmd"] == pytest.approx(0) and table["APP-OQ (1%)", "curvature"] < table["APP", "curvature"]
+    shown = spark.createDataFrame([("acc_pinv", 0.5, 0.1), ("other", None, None), ("cc_none", 1.0, None)], "m string, a double, s double")
+    assert [(r[0], r[1]) for r in shown.select(D.labelled(F.col("m")), D.score(F.col("a"), F.col("s"), 2)).collect()] == [
+        ("ACC pseudo-inverse", "0.50 ± 0.10"), ("other", ""), ("CC unadjusted", "1.00")]
+    D.main(["protocols", "--bags", "5", "--out", str(tmp_path / "out")])
+    assert "curvature" in (tmp_path / "out.tex").read_text()

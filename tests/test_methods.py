@@ -163,3 +163,40 @@ def test_tree_is_shared_and_split(task, trees):
     assert half.held.select(LABEL).distinct().count() == 3
     taken = TreeTransformer(one.tree, fit_tree=0).fit(task[0], "label")[0]
     assert taken.leaves == one.leaves
+
+
+def test_bags_without_rows_of_their_own_and_classes_without_training_rows(spark, task):
+    train, test, _ = task
+    bags = test.withColumn("bag", F.lit("a")).withColumn("behind", F.lit(False))
+    bags = bags.unionByName(train.limit(5).withColumn("bag", F.lit("b")).withColumn("behind", F.lit(True)))
+    found = {r.bag: r for r in Q.HDx(3, strategy="constrained").fit(train).transform_with_background(bags, "behind", 1.0, "bag").collect()}
+    assert found["a"].status == "ok" and (found["b"].n, found["b"].p) == (0, None) and found["b"].status.startswith(Q.EMPTY)
+    two = train.where("label <> 2")
+    scorer = SqlScorer("transform(array(1, 2, 3), c -> CASE WHEN c = floor(features[0]) THEN 0.9D ELSE 0.05D END)", 3)
+    with pytest.warns(UserWarning, match="1 classes have no rows"):
+        fitted = {s: Q.ACC(scorer, strategy=s).fit(two) for s in ("pinv", "inv", "ovr", "softmax")}
+    for model in fitted.values():
+        assert np.isnan(model.M[:, 1]).all()
+        row = model.transform(test).first()
+        assert row.p is None and row.status.startswith(Q.INVALID)
+        with pytest.raises(Q.S.NonOptimalStatusError):
+            model.predict(test)
+        with pytest.raises(Exception, match="must be finite"):
+            model.transform(test, strict=True).collect()
+    assert Q.CC(scorer).fit(two).predict(test).sum() == pytest.approx(1)
+    p = Q.SLD(scorer).fit(two).predict(test)
+    assert p[1] == 0 and p.sum() == pytest.approx(1)
+    singular = Q.ACC(SqlScorer("array(1D / 3, 1D / 3, 1D / 3)", 3), strategy="inv").fit(train).transform(test).first()
+    assert singular.status.startswith(Q.SINGULAR)
+
+
+def test_steps_of_large_bags_are_those_of_small_ones(task, monkeypatch):
+    train, test, _ = task
+    bags = test.withColumn("bag", F.when(F.col("zero") == 0, "a").when(F.col("features")[0] > 2, F.lit(None)).otherwise("b"))
+    model = Q.SLD(C(), o=0, lam=0.1, n_iterations=4).fit(train, "label")
+    once = {r.bag: (r.n, r.p) for r in model.transform(bags, "bag").collect()}
+    monkeypatch.setattr(Q, "TOGETHER", sorted(n for n, _ in once.values())[0])
+    steps = {r.bag: (r.n, r.p) for r in model.transform(bags, "bag").collect()}
+    assert once.keys() == steps.keys() == {"a", "b", None}
+    for bag in once:
+        assert once[bag][0] == steps[bag][0] and once[bag][1] == pytest.approx(steps[bag][1])
