@@ -39,11 +39,12 @@ SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = {0: 6000, 1: 3000}, 12_000_000, 1 << 17
 QUANTILES, RANKS = (0.95, 0.98, 0.99, 0.995, 0.999), (0, 1, 2, 3, 4, 6, 8)
 #: Gains are counted in bytes from -SPAN to SPAN; windows that are compressed at once; characters that are cut at once.
 SPAN, AT_ONCE, SLICE = 32, 20_000, 1 << 20
-#: An optimal parse of small inputs; no headers, so that lengths are those of the content.
-SHAPE = {
-    "window_log": 21, "search_log": 4, "min_match": 3, "target_length": 16, "strategy": zstandard.STRATEGY_BTULTRA2,
-    "write_content_size": False, "write_checksum": False, "write_dict_id": False,
-}
+#: No headers, so that lengths are those of the content; an optimal parse, and a quick one that leaves literals as they are.
+BARE = {"window_log": 21, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+OPTIMAL = {"search_log": 4, "min_match": 3, "target_length": 16, "strategy": zstandard.STRATEGY_BTULTRA2}
+QUICK = {"search_log": 1, "min_match": 5, "target_length": 1, "strategy": zstandard.STRATEGY_FAST}
+#: Bytes that a window gains by the quick parse from which it is parsed optimally as well.
+WORTH = 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -128,18 +129,18 @@ def dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(dict.fromkeys(samples))[-size:]
 
 
-@lru_cache(maxsize=8)
-def compressor(content: bytes) -> zstandard.ZstdCompressor:
+@lru_cache(maxsize=16)
+def compressor(content: bytes, quick: bool = False) -> zstandard.ZstdCompressor:
     """A worker keeps the digested dictionary from task to task; its tables grow with it."""
     bits = max(14, len(content).bit_length())
-    shape = zstandard.ZstdCompressionParameters(**SHAPE, hash_log=bits, chain_log=bits)
+    shape = zstandard.ZstdCompressionParameters(**BARE, **(QUICK if quick else OPTIMAL), hash_log=bits, chain_log=bits)
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=shape)
 
 
-def lengths(content: bytes, pieces: list[bytes]) -> np.ndarray:
+def lengths(content: bytes, pieces: list[bytes], quick: bool = False) -> np.ndarray:
     """Bytes that each piece takes under a dictionary."""
     out = np.zeros(len(pieces), dtype=np.int64)
-    press = compressor(content).multi_compress_to_buffer if pieces else None
+    press = compressor(content, quick).multi_compress_to_buffer if pieces else None
     for at in range(0, len(pieces), AT_ONCE):
         found = press(pieces[at : at + AT_ONCE])
         out[at : at + len(found)] = [len(found[i]) for i in range(len(found))]
@@ -148,27 +149,44 @@ def lengths(content: bytes, pieces: list[bytes]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Two dictionaries, the thresholds with the shares of ordinary gains above them, and the curve over a document's features."""
+    """Two dictionaries, the thresholds with the shares of ordinary gains above them, and the curve over a document's features.
+
+    Thresholds and shares are of the quick and of the optimal parse.
+    """
 
     toxic: bytes = b""
     ordinary: bytes = b""
-    thresholds: tuple[int, ...] = ()
-    above: tuple[float, ...] = ()
+    thresholds: tuple[tuple[int, ...], ...] = ()
+    above: tuple[tuple[float, ...], ...] = ()
     weights: tuple[float, ...] = ()
     share: float = 0.0
 
 
+def gains(model: Model, pieces: list[bytes]) -> np.ndarray:
+    """(2, pieces): bytes that each window gains under the toxic dictionary, by the quick and by the optimal parse.
+
+    Windows that gain less than WORTH by the quick parse count as gaining the least by the optimal one.
+    """
+    limit = lambda x: np.clip(x, -SPAN, SPAN)
+    quick = limit(lengths(model.ordinary, pieces, True) - lengths(model.toxic, pieces, True))
+    best = np.full(len(pieces), -SPAN)
+    worth = np.flatnonzero(quick >= WORTH)
+    some = [pieces[i] for i in worth.tolist()]
+    best[worth] = limit(lengths(model.ordinary, some) - lengths(model.toxic, some))
+    return np.stack([quick, best])
+
+
 def gain_counts(model: Model, texts: list[str | None]) -> np.ndarray:
-    """How many windows of each text gain -SPAN, ..., SPAN bytes under the toxic dictionary."""
-    width = 2 * SPAN + 1
-    out = np.zeros((len(texts), width), dtype=np.int64)
+    """(texts, 2, bytes): how many windows of each text gain -SPAN, ..., SPAN bytes, by either parse."""
+    out = np.zeros((len(texts), 2, 2 * SPAN + 1), dtype=np.int64)
     pieces: list[bytes] = []
     owner: list[np.ndarray] = []
 
     def settle() -> None:
         if pieces:
-            gains = np.clip(lengths(model.ordinary, pieces) - lengths(model.toxic, pieces), -SPAN, SPAN) + SPAN
-            np.add.at(out, (np.concatenate(owner), gains), 1)
+            of = np.concatenate(owner)
+            for parse, found in enumerate(gains(model, pieces)):
+                np.add.at(out, (of, parse, found + SPAN), 1)
             pieces.clear()
             owner.clear()
 
@@ -185,16 +203,18 @@ def gain_counts(model: Model, texts: list[str | None]) -> np.ndarray:
 
 
 def features(model: Model, counts: np.ndarray) -> np.ndarray:
-    """Per text: its largest gains, how many exceed each threshold against chance and as such, their mean and number."""
-    n = counts.sum(axis=1)
+    """Per text: by either parse, how many gains exceed each threshold, against chance and as such; the largest; mean and number."""
+    quick, best = counts[:, 0], counts[:, 1]
+    n = quick.sum(axis=1)
     bytes_ = np.arange(-SPAN, SPAN + 1)
-    upto = counts[:, ::-1].cumsum(axis=1)  # of the largest gains, how many are of so many bytes or more
-    top = [np.where(n > r, SPAN - (upto <= r).sum(axis=1), 0) for r in RANKS]
-    hits = np.stack([counts[:, bytes_ > t].sum(axis=1) for t in model.thresholds], axis=1)
-    expected = n[:, None] * np.array(model.above)
-    chance = (hits - expected) / np.sqrt(expected + 0.5)
-    mean = (counts @ bytes_) / np.maximum(n, 1)
-    return np.column_stack([*top, chance, np.log1p(hits), np.log1p(n), mean]).astype(float)
+    columns = []
+    for parse in (0, 1):
+        hits = np.stack([counts[:, parse, bytes_ > t].sum(axis=1) for t in model.thresholds[parse]], axis=1)
+        expected = n[:, None] * np.array(model.above[parse])
+        columns += [(hits - expected) / np.sqrt(expected + 0.5), np.log1p(hits)]
+    upto = best[:, ::-1].cumsum(axis=1)  # of the largest gains, how many are of so many bytes or more
+    top = [np.where(n > r, np.maximum(0, SPAN - (upto <= r).sum(axis=1)), 0) for r in RANKS]
+    return np.column_stack([*columns, *top, np.log1p(n), (quick @ bytes_) / np.maximum(n, 1)]).astype(float)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3) -> np.ndarray:
@@ -258,10 +278,13 @@ def fit(sample: list[tuple[str, int]]) -> Model:
         rest[:] = train[:] = True
     model = dictionaries(*[[t for t, y, k in zip(texts, toxic.tolist(), train.tolist()) if k and y == c] for c in (1, 0)])
     counts, y = gain_counts(model, [t for t, k in zip(texts, rest.tolist()) if k]), toxic[rest]
-    usual = counts[y == 0].sum(axis=0)
-    share = usual.cumsum() / max(1, usual.sum())
-    model.thresholds = tuple(int(np.searchsorted(share, q)) - SPAN for q in QUANTILES)
-    model.above = tuple(float(1 - share[min(t + SPAN, 2 * SPAN)]) for t in model.thresholds)
+    thresholds, above = [], []
+    for usual in counts[y == 0].sum(axis=0):
+        share = usual.cumsum() / max(1, usual.sum())
+        places = [min(int(np.searchsorted(share, q)), 2 * SPAN) for q in QUANTILES]
+        thresholds.append(tuple(at - SPAN for at in places))
+        above.append(tuple(float(1 - share[at]) for at in places))
+    model.thresholds, model.above = tuple(thresholds), tuple(above)
     model.weights = tuple(logistic(features(model, counts), y.astype(float)).tolist())
     return model
 

@@ -62,14 +62,19 @@ def test_edge_rows(spark):
 
 def plain_score(model, text):
     """One window at a time, with compressors of its own, as the docstrings say."""
-    press = [toxicity.compressor.__wrapped__(d) for d in (model.ordinary, model.toxic)]
+    press = {(d, quick): toxicity.compressor.__wrapped__(d, quick) for d in (model.ordinary, model.toxic) for quick in (True, False)}
+    gain = lambda w, quick: max(-32, min(32, len(press[model.ordinary, quick].compress(w)) - len(press[model.toxic, quick].compress(w))))
     words = (text or "").lower().encode().split()
     cut = [b" " + b" ".join(words[i : i + 4]) + b" " for i in range(0, max(1, len(words) - 2), 2)] if words else []
-    gains = sorted((max(-32, min(32, len(press[0].compress(w)) - len(press[1].compress(w)))) for w in cut), reverse=True)
-    n, x = len(gains), [gains[r] if len(gains) > r else 0 for r in toxicity.RANKS]
-    hits = [sum(g > t for g in gains) for t in model.thresholds]
-    x += [(h - n * a) / math.sqrt(n * a + 0.5) for h, a in zip(hits, model.above)] + [math.log1p(h) for h in hits]
-    x += [math.log1p(n), sum(gains) / max(n, 1)]
+    quick = [gain(w, True) for w in cut]
+    best = [gain(w, False) if g >= toxicity.WORTH else -32 for w, g in zip(cut, quick)]
+    n, x = len(cut), []
+    for gains, thresholds, above in zip((quick, best), model.thresholds, model.above):
+        hits = [sum(g > t for g in gains) for t in thresholds]
+        x += [(h - n * a) / math.sqrt(n * a + 0.5) for h, a in zip(hits, above)] + [math.log1p(h) for h in hits]
+    best.sort(reverse=True)
+    x += [max(0, best[r]) if n > r else 0 for r in toxicity.RANKS]
+    x += [math.log1p(n), sum(quick) / max(n, 1)]
     z = model.weights[0] + sum(w * v for w, v in zip(model.weights[1:], x))
     return 1 / (1 + math.exp(-max(-30, min(30, z))))
 
