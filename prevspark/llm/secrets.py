@@ -2,9 +2,10 @@
 
 Patterns give the base spans. Beyond them, every long run of encoding characters is a candidate, or its parts are if no encoding
 has all of its characters: its encoding is inferred from the characters that it holds, and three tests ask whether they are uniform (chi-squared), in no order (runs above and below the
-middle of the alphabet) and without memory (serial correlation). A candidate that fits is kept if its characters repeat far
-less than those of text would: that p-value enters a Benjamini-Hochberg control over the candidates of all documents, weighted
-by length, on a histogram of p-values.
+middle of the alphabet) and without memory (serial correlation). A candidate that passes all three is a discovery against the
+hypothesis that it is text: the p-value that enters a Benjamini-Hochberg control over the candidates of all documents, weighted
+by length, on a histogram of p-values, is the chance that letters of text in the same encoding come as near to uniform, by the
+same statistic, as the candidate's characters do.
 """
 
 from __future__ import annotations
@@ -40,8 +41,13 @@ ENCODINGS = [
     (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/"),
     (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 ]
-#: Chance that two, or three, letters of a text are the same.
-TEXT_PAIR, TEXT_TRIPLE = 0.066, 0.0055
+#: Letters of a hundred of English text, from a to z.
+LETTERS = dict(zip(LOWER, (
+    8.17, 1.49, 2.78, 4.25, 12.70, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41,
+    6.75, 7.51, 1.93, 0.10, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.07,
+)))
+#: Pairs of equal characters to expect up to which their number counts as one of rare events, and beyond which as normal.
+FEW = 30.0
 #: Level of the battery below which a candidate is not random; false discovery rate; bins of the histogram per halving of p.
 LEVEL, RATE, BINS, LAST_BIN = 1e-2, 0.05, 8, 4096
 #: Entries that a running sum adds up at a time.
@@ -135,17 +141,36 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
+def repeats(alphabet: str) -> tuple[float, float]:
+    """Chance that two, or three, letters of text that an encoding has are the same."""
+    own = [n for c, n in LETTERS.items() if c in alphabet.lower()]
+    total = sum(own) or 1.0
+    return sum((n / total) ** 2 for n in own), sum((n / total) ** 3 for n in own)
+
+
 def battery(token: Column) -> Column:
     """(random, text): p-value of the battery, and the chance that text of the token's length repeats as little; null without encoding."""
 
     def tests(t: Column) -> Column:
-        alphabet = F.coalesce(*[F.when(t.rlike(p), F.lit(a)) for p, a in ENCODINGS], F.lit(""))
-        return let(alphabet, lambda a: F.when(F.length(a) > 1, measured(t, a)))
+        kind = lambda a: F.struct(F.lit(a).alias("a"), *[F.lit(x).alias(n) for n, x in zip(("pair", "triple"), repeats(a))])
+        known = F.coalesce(*[F.when(t.rlike(p), kind(a)) for p, a in ENCODINGS])
+        return let(known, lambda e: F.when(F.length(e["a"]) > 1, measured(t, e["a"], e["pair"], e["triple"])))
 
     return let(F.regexp_replace(token, "=+$", ""), tests)
 
 
-def measured(t: Column, alphabet: Column) -> Column:
+def at_least(x: Column, mean: Column) -> Column:
+    """Chance of ``x`` or more rare events where ``mean`` are expected."""
+
+    def step(state: Column, i: Column) -> Column:
+        return F.struct((state["below"] + state["next"]).alias("below"), (state["next"] * mean / i).alias("next"))
+
+    start = F.struct(F.lit(0.0).alias("below"), F.exp(-mean).alias("next"))
+    below = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), x.cast("int"))), start, step, lambda s: s["below"])
+    return F.when(x < 1, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - below))
+
+
+def measured(t: Column, alphabet: Column, pair: Column, triple: Column) -> Column:
     n, k = F.length(t).cast("double"), F.length(alphabet).cast("double")
     count = lambda s, part: (F.length(s) - F.length(F.replace(s, part, F.lit("")))) / F.length(part)
     squares = F.aggregate(F.split(alphabet, ""), F.lit(0.0), lambda x, a: x + F.when(a == "", 0.0).otherwise(F.pow(count(t, a), F.lit(2.0))))
@@ -160,8 +185,9 @@ def measured(t: Column, alphabet: Column) -> Column:
         return let(F.struct(total.alias("s"), square.alias("q"), product.alias("p"), bits.alias("b"), squares.alias("c")), decided)
 
     def decided(m: Column) -> Column:
-        chi = k / n * m["c"] - n
-        p_chi = upper_tail((chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)))
+        # the chi-squared statistic is k / n times twice the pairs of equal characters, and a constant
+        equal, even = (m["c"] - n) / 2, n * (n - 1) / 2 / k
+        p_chi = F.when(even <= FEW, at_least(equal, even)).otherwise(upper_tail((equal - even) / F.sqrt(even * (1 - 1 / k))))
         high = count(m["b"], F.lit("1"))
         runs = 1 + count(m["b"], F.lit("01")) + count(m["b"], F.lit("10"))
         mean = 2 * high * (n - high) / n + 1
@@ -170,10 +196,9 @@ def measured(t: Column, alphabet: Column) -> Column:
         scale = n * m["q"] - m["s"] * m["s"]
         serial = F.when(scale > 0, (n * m["p"] - m["s"] * m["s"]) / scale)
         p_serial = F.coalesce(2 * upper_tail(F.abs(serial + 1 / (n - 1)) * F.sqrt(n)), F.lit(0.0))
-        pairs = (m["c"] - n) / 2  # of equal characters
-        expected = n * (n - 1) / 2 * TEXT_PAIR
-        variance = n * (n - 1) / 2 * (TEXT_PAIR - TEXT_PAIR**2) + n * (n - 1) * (n - 2) * (TEXT_TRIPLE - TEXT_PAIR**2)
-        p_text = upper_tail((expected - pairs) / F.sqrt(variance))
+        expected = n * (n - 1) / 2 * pair
+        variance = n * (n - 1) / 2 * (pair - pair * pair) + n * (n - 1) * (n - 2) * (triple - pair * pair)
+        p_text = upper_tail((expected - equal) / F.sqrt(variance))
         return F.struct(F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("random"), p_text.alias("text"))
 
     return let(places, with_places)

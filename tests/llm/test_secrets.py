@@ -1,9 +1,11 @@
 """Secrets: base spans against the patterns themselves, the battery, the control of false discoveries, edge rows."""
 
 import hashlib
+import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from prevspark.llm import secrets
@@ -56,6 +58,50 @@ def test_battery_tells_random_from_text(spark):
     assert rows[200].p.random < secrets.LEVEL and rows[201].p.random < 1e-6 and rows[202].p.random < 1e-4 and rows[203].p is None
 
 
+def plain_battery(token):
+    """The three tests and the chance under text, with the library's functions instead of series."""
+    token = token.rstrip("=")
+    alphabet = next((a for p, a in secrets.ENCODINGS if re.match(p, token)), "")
+    if len(alphabet) < 2:
+        return None
+    n, k = len(token), len(alphabet)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    equal = sum(token[i] == token[j] for i in range(n) for j in range(i))
+    even = n * (n - 1) / 2 / k
+    if even <= secrets.FEW:
+        p_chi = 1 - sum(math.exp(i * math.log(even) - even - math.lgamma(i + 1)) for i in range(equal))
+    else:
+        p_chi = tail((equal - even) / math.sqrt(even * (1 - 1 / k)))
+    x = [alphabet.index(c) + 1 for c in token]
+    bits = [v > k / 2 for v in x]
+    high, runs = sum(bits), 1 + sum(a != b for a, b in zip(bits, bits[1:]))
+    mean = 2 * high * (n - high) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(abs(runs - mean) / math.sqrt(spread)) if spread > 0 else 0
+    scale = n * sum(v * v for v in x) - sum(x) ** 2
+    serial = (n * sum(a * b for a, b in zip(x, x[1:] + x[:1])) - sum(x) ** 2) / scale if scale else None
+    p_serial = 2 * tail(abs(serial + 1 / (n - 1)) * math.sqrt(n)) if scale else 0
+    pair, triple = secrets.repeats(alphabet)
+    pairs = n * (n - 1) / 2
+    variance = pairs * (pair - pair**2) + n * (n - 1) * (n - 2) * (triple - pair**2)
+    return min(1, 3 * min(max(0, p_chi), p_runs, p_serial)), tail((pairs * pair - equal) / math.sqrt(variance))
+
+
+def test_battery_is_the_plain_one(spark):
+    rng = random.Random(12)
+    tokens = ["a" * 25, "ab" * 15, "0123456789abcdef" * 2, "thequickbrownfoxjumpsover", "1" * 30]
+    for alphabet in {a for _, a in secrets.ENCODINGS if a}:
+        tokens += ["".join(rng.choice(alphabet) for _ in range(rng.choice([20, 31, 64, 200]))) + rng.choice(["", "=="]) for _ in range(12)]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("p")).collect()
+    for r in rows:
+        expected = plain_battery(r.t)
+        assert (r.p is None) == (expected is None)
+        if expected:
+            assert (r.p.random, r.p.text) == pytest.approx(expected, abs=2e-6)
+    # text has its letters repeat in any encoding; what is uniform does not
+    assert secrets.repeats(secrets.DIGITS + "abcdef")[0] > 0.2 and 0.06 < secrets.repeats(secrets.LOWER)[0] < 0.07
+
+
 def test_added_spans(spark):
     rng = random.Random(9)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
