@@ -605,11 +605,11 @@ LATENT = {
 
 
 def acc_sql(strategy: str, digits: int = 3) -> str:
-    return lsq_sql(LANG_Q, "source", 4, digits=digits, latent=LATENT.get(strategy, ""))
+    return lsq_sql(LANG_Q, "source", 4, digits=digits, latent=LATENT.get(strategy, ""), steps=3000 if strategy in LATENT else 40_000)
 
 
 def pacc_sql(strategy: str) -> str:
-    return lsq_sql(LANG_Q, "source", 4, "0.05 + 0.8 * m", "0.05 + 0.8 * q", rate=1.5, digits=3, latent=LATENT.get(strategy, ""))
+    return lsq_sql(LANG_Q, "source", 4, "0.05 + 0.8 * m", "0.05 + 0.8 * q", rate=1.5, digits=3, latent=LATENT.get(strategy, ""), steps=3000 if strategy in LATENT else 40_000)
 
 
 PINV_SQL = lsq_sql(LANG_Q, "source", 4, digits=3).replace("list_transform(x, lambda v: v / list_sum(x))", "x")
@@ -620,12 +620,12 @@ for s in ("softmax", "softmax_reg", "softmax_full_reg", "constrained"):
     numeric(f"acc_{s}", lambda s=s: Q.ACC(LANG, strategy=s), "languages", 3, acc_sql(s))
     numeric(f"pacc_{s}", lambda s=s: Q.PACC(LANG, strategy=s), "languages", 3, pacc_sql(s))
     # where the histograms can be met exactly, by the same p; a bag on the border differs in the second digit
-    numeric(f"hdy_{s}", lambda s=s: Q.HDy(3, strategy=s, classifier=LANG), "languages", 1, acc_sql(s, 1))
+    numeric(f"hdy_{s}", lambda s=s: Q.HDy(3, strategy=s, classifier=LANG), "languages", 1, acc_sql("softmax", 1))
     numeric(f"hdx_{s}", lambda s=s: Q.HDx(BINS, strategy=s), "quantities", 3, hellinger_sql())
     numeric(f"svd_{s}", lambda s=s: Q.SVD(HIST, strategy=s), "quantities", 3, SVD_SQL)
 for s in Q.RUN.strategies:
     climbs = s != "original"
-    numeric(f"run_{s}", lambda s=s: Q.RUN(HIST, strategy=s), "quantities", 3, likelihood_sql() if climbs else None)
+    numeric(f"run_{s}", lambda s=s: Q.RUN(HIST, strategy=s), "quantities", 3 if climbs else 4, likelihood_sql() if climbs else None)
 numeric("svd_original", lambda: Q.SVD(HIST, strategy="original", n_df=4), "quantities", 4)
 numeric("acc_pinv", lambda: Q.ACC(LANG, strategy="pinv"), "languages", 3, PINV_SQL)
 numeric("oacc_constrained", lambda: Q.ACC(LANG, strategy="constrained", tau=10.0), "languages", 3, lsq_sql(LANG_Q, "source", 4, tau=10.0, rate=0.05, steps=20_000, digits=3))
