@@ -38,7 +38,7 @@ SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TEXT = {0: 6000, 1: 3000}, 12_000_000, 1 << 17
 #: Quantiles of the ordinary calibration documents' gains that serve as thresholds; ranks of gains that are features.
 QUANTILES, RANKS = (0.95, 0.98, 0.99, 0.995, 0.999), (0, 1, 2, 3, 4, 6, 8)
 #: Gains are counted in bytes from -SPAN to SPAN; windows that are compressed at once; characters that are cut at once.
-SPAN, AT_ONCE, SLICE = 32, 20_000, 1 << 20
+SPAN, AT_ONCE, SLICE = 32, 1 << 17, 1 << 20
 #: No headers, so that lengths are those of the content; an optimal parse, and a quick one that leaves literals as they are.
 BARE = {"window_log": 21, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 OPTIMAL = {"search_log": 4, "min_match": 3, "target_length": 16, "strategy": zstandard.STRATEGY_BTULTRA2}
@@ -185,8 +185,10 @@ def gain_counts(model: Model, texts: list[str | None]) -> np.ndarray:
     def settle() -> None:
         if pieces:
             of = np.concatenate(owner)
+            first, last, width = of[0], of[-1] + 1, out.shape[2]
             for parse, found in enumerate(gains(model, pieces)):
-                np.add.at(out, (of, parse, found + SPAN), 1)
+                seen = np.bincount((of - first) * width + found + SPAN, minlength=(last - first) * width)
+                out[first:last, parse] += seen.reshape(-1, width)
             pieces.clear()
             owner.clear()
 
