@@ -31,33 +31,58 @@ GATHER = 200_000
 BUCKET = 512
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Majority of the bits of the XXH64 (seed 42) of each word shingle; 0 for a text without words."""
+def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes themselves for print 0; for others, hashes that are as good as independent of them."""
+    if not n:
+        return hashes
+    z = hashes + np.uint64((n * 0x9E3779B97F4A7C15) % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprints(text: str | None, shingle: int = 4, prints: int = 1) -> list[int]:
+    """Majority of the bits of the XXH64 (seed 42) of each word shingle, and of ``prints`` - 1 mixtures; 0 for a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return [0] * prints
     line = b" ".join(words)
     starts = np.cumsum([0] + [len(w) + 1 for w in words])
     n = max(1, len(words) - shingle + 1)
     ends = starts[shingle : shingle + n] - 1 if len(words) >= shingle else np.array([len(line)])
     xxh = xxhash.xxh64_intdigest
-    hashes = np.array([xxh(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist())], dtype=">u8")
-    votes = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, 65_536):
-        votes += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    hashes = np.array([xxh(line[a:b], 42) for a, b in zip(starts[:n].tolist(), ends.tolist())], dtype=np.uint64)
+    out = []
+    for p in range(prints):
+        votes = np.zeros(BITS, dtype=np.int64)
+        for at in range(0, n, 65_536):
+            part = mixed(hashes[at : at + 65_536], p).astype(">u8")
+            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big"))
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return fingerprints(text, shingle)[0]
 
 
-def with_fingerprint(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def others(prints: int) -> list[str]:
+    """Columns of the further fingerprints."""
+    return [f"fp{i}" for i in range(1, prints)]
+
+
+def with_fingerprint(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", prints: int = 1) -> DataFrame:
+    """(doc_id, fp, fp1, ...) of every row; the fingerprints are signed longs."""
+    names = ["fp", *others(prints)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprints(t.as_py(), shingle, prints) for t in batch.column(1)], dtype=np.uint64).reshape(-1, prints)
+            columns = [pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, fp long"
+        run, ", ".join(["doc_id long", *[f"{n} long" for n in names]])
     )
 
 
@@ -223,9 +248,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame, k: int) -> DataFrame:
-    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp)."""
+    """(fp, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp, fp1, ...).
+
+    Rows are linked if any of their fingerprints differ in at most ``k`` bits. Links by a further one are carried over to the
+    first: of each of its groups, all first fingerprints are linked to the least.
+    """
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    found = components(near_links(distinct.select("fp"), k))
+    links = near_links(distinct.select("fp"), k)
+    for name in [c for c in prints.columns if c not in ("doc_id", "fp")]:
+        pairs = store(prints.select("fp", F.col(name).alias("other")).distinct(), "other")
+        found = components(near_links(pairs.select(F.col("other").alias("fp")).distinct(), k))
+        named = pairs.join(found, F.col("other") == F.col("node"), "left").select("fp", F.coalesce("root", "other").alias("group"))
+        least = named.groupBy("group").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
+        links = links.unionByName(named.join(least, "group").where("fp <> a").select("a", F.col("fp").alias("b")))
+    found = components(links)
     named = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
@@ -249,14 +285,15 @@ def near_duplicates(
 
 
 @columns_aside(("doc_id", "text"))
-def one_of_each(docs: DataFrame, k: int = 4, shingle: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+def one_of_each(docs: DataFrame, k: int = 4, shingle: int = 4, broadcast_rows: int = 500_000, prints: int = 1) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) without near duplicates: of each group one row stays.
 
+    Rows are near if any of ``prints`` fingerprints differ in at most ``k`` bits: more of them find more of the near copies.
     It is the row with the least doc_id; of rows that repeat that doc_id, or of a group without any, the least by text.
     Columns are those of ``docs``. Ids to drop are broadcast up to ``broadcast_rows`` of them, and shuffled beyond.
     """
-    prints = store(with_fingerprint(docs, shingle), "fingerprints")
-    groups = store(prints.join(grouped(prints, k), "fp"), "groups")
+    found = store(with_fingerprint(docs, shingle, prints=prints), "fingerprints")
+    groups = store(found.select("doc_id", "fp").join(grouped(found, k), "fp"), "groups")
     again = groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again_id"))
     gone = groups.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
     again_n, gone_n = again.count(), gone.count()
