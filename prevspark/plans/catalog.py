@@ -7,6 +7,9 @@ Two tasks serve them. *Languages*: a document's language (de, en, es, fr), told
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -22,6 +25,7 @@ from prevspark.operators.classifiers import MLClassifier, SqlScorer
 from prevspark.operators.transformers import ENTRIES, LABEL, ClassTransformer, HistogramTransformer, tree_with_bins
 from prevspark.plans import drivers as D
 from prevspark.plans import evaluate as V
+from prevspark.sources import tables
 from prevspark.streaming import windowed as W
 
 BINS, STEPS = 10, 100
@@ -308,6 +312,27 @@ def ibu_smoothed_o0(spark, sf_dir):
     return long(Q.IBU(HIST, o=0, lam=0.1).fit(train).transform(test, "bag"), "bag")
 
 
+def em_linear_sql() -> str:
+    step = EM_STEP.format(C=5, F=BINS)
+    line = "list_transform(range(1, 6), lambda c: greatest(0.0, list_avg(x) + (c - 3) * (2 * x[5] + x[4] - x[2] - 2 * x[1]) / 10))"
+    return quantity_sql(5, "RECURSIVE") + f""", ml AS (SELECT list(row ORDER BY f) AS m FROM (SELECT f, list(m ORDER BY c) AS row FROM m GROUP BY f)),
+ql AS (SELECT bag, list(q ORDER BY f) AS q FROM q GROUP BY bag),
+em AS (
+  SELECT 0 AS i, bag, q, m, CAST([0.2, 0.2, 0.2, 0.2, 0.2] AS DOUBLE[]) AS p, CAST([0.2, 0.2, 0.2, 0.2, 0.2] AS DOUBLE[]) AS x FROM ql, ml
+  UNION ALL
+  SELECT i + 1, bag, q, m, list_transform(y, lambda v: v / list_sum(y)), x FROM (
+    SELECT *, list_transform(range(1, 6), lambda c: 0.5 * e[c] / list_sum(e) + 0.5 * x[c]) AS y FROM (
+      SELECT *, {line} AS e FROM (SELECT i, bag, q, m, {step} AS x FROM em WHERE i < {STEPS})))
+) SELECT bag, CAST(c - 1 AS INTEGER) AS class, round(x[c], 6) AS p FROM (SELECT bag, x, unnest(range(1, 6)) AS c FROM em WHERE i = {STEPS})"""
+
+
+@query(em_linear_sql())
+def ibu_smoothed_o1(spark, sf_dir):
+    """The same with half of a straight line mixed into each prior."""
+    train, test = halves(spark, sf_dir)
+    return long(Q.IBU(HIST, o=1, lam=0.5).fit(train).transform(test, "bag"), "bag")
+
+
 # the objectives, at uniform prevalences
 
 
@@ -605,11 +630,14 @@ LATENT = {
 
 
 def acc_sql(strategy: str, digits: int = 3) -> str:
-    return lsq_sql(LANG_Q, "source", 4, digits=digits, latent=LATENT.get(strategy, ""), steps=3000 if strategy in LATENT else 40_000)
+    """A bag whose optimum is on the border without being pushed there comes to it slowly."""
+    far = {} if strategy in LATENT else {"rate": 3.0, "steps": 100_000}
+    return lsq_sql(LANG_Q, "source", 4, digits=digits, latent=LATENT.get(strategy, ""), **far)
 
 
 def pacc_sql(strategy: str) -> str:
-    return lsq_sql(LANG_Q, "source", 4, "0.05 + 0.8 * m", "0.05 + 0.8 * q", rate=1.5, digits=3, latent=LATENT.get(strategy, ""), steps=3000 if strategy in LATENT else 40_000)
+    far = {"rate": 1.5} if strategy in LATENT else {"rate": 4.5, "steps": 100_000}
+    return lsq_sql(LANG_Q, "source", 4, "0.05 + 0.8 * m", "0.05 + 0.8 * q", digits=3, latent=LATENT.get(strategy, ""), **far)
 
 
 PINV_SQL = lsq_sql(LANG_Q, "source", 4, digits=3).replace("list_transform(x, lambda v: v / list_sum(x))", "x")
@@ -815,6 +843,24 @@ def left_joined(spark, sf_dir):
     return rows.select("s_suppkey", "nation", F.coalesce(F.col("n").cast("string"), F.lit("")).alias("n_rich"))
 
 
+@query("""SELECT event_type, CAST(len(list_filter([5.0, 20.0, 50.0, 90.0], lambda e: e <= value)) AS INTEGER) AS class, count(*) AS n FROM events
+WHERE isfinite(value) GROUP BY ALL""")
+def discretised_values(spark, sf_dir):
+    """Events of each type in classes of their value, [low, high); what lies outside belongs to the outer ones."""
+    rows = tables.discretised(tables.finite_rows(table(spark, sf_dir, "events")), "value", [0.0, 5.0, 20.0, 50.0, 90.0, 100.0], "class")
+    return rows.groupBy("event_type", "class").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, sf_dir):
+    """A table written as CSV and read back."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="prevspark-")
+    path = f"{base.rstrip('/')}/prevspark/{uuid.uuid4().hex}/nation_csv"
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    tables.write_csv(rows, path)
+    return tables.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+
+
 @query("SELECT DISTINCT c_mktsegment AS name FROM customer UNION SELECT DISTINCT o_orderpriority FROM orders EXCEPT SELECT '1-URGENT'")
 def distinct_names(spark, sf_dir):
     """Different names of two tables, but for one."""
