@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prevspark.llm.common import let, store
+from prevspark.llm.common import let, running, store
 
 #: What each level replaces, in order.
 ESCAPES = {
@@ -106,23 +106,27 @@ def formatted(conversations: DataFrame) -> DataFrame:
 
 
 def with_loss(chats: DataFrame, trained: str = TRAINED) -> DataFrame:
-    """``chats`` with ``loss``: (start, end) code points of the escaped texts of the turns whose role is ``trained``."""
+    """``chats`` with ``loss``: (start, end) code points of the escaped texts of the turns whose role is ``trained``.
 
-    def step(state: Column, piece: Column) -> Column:
-        at = F.locate(SPLIT, piece)
-        start = state["at"] + at + len(SPLIT) - 1
-        role = F.substr(piece, F.lit(len(TURN) + 1), at - len(TURN) - 1)
-        mine = role == trained
-        span = F.struct(start.cast("long").alias("start"), (state["at"] + F.length(piece)).cast("long").alias("end"))
-        return F.struct(
-            (state["at"] + F.length(piece) + len(END)).cast("long").alias("at"),
-            F.when(mine, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
-        )
-
-    first = F.struct(F.locate("\n", F.col("chat")).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    found = pieces(F.col("chat"))
-    turns = let(found, lambda x: F.slice(x, 1, F.size(x) - 1))
-    return chats.withColumn("loss", F.aggregate(turns, first, step, lambda state: state["spans"]))
+    In time near the length of the conversation, however many turns it has.
+    """
+    header = F.locate("\n", F.col("chat")).cast("long")
+
+    def spans(turns: Column) -> Column:
+        ends = running(F.transform(turns, lambda t: F.length(t).cast("long") + len(END)))
+
+        def span(x: Column) -> Column:
+            end = header + x["end"] - len(END)
+            at = F.locate(SPLIT, x["turn"])
+            role = F.substr(x["turn"], F.lit(len(TURN) + 1), at - len(TURN) - 1)
+            start = end - F.length(x["turn"]) + at + len(SPLIT) - 1
+            return F.when(role == trained, F.struct(start.cast("long").alias("start"), end.cast("long").alias("end")))
+
+        both = F.arrays_zip(turns.alias("turn"), ends.alias("end"))
+        return F.filter(F.transform(both, span), lambda s: s.isNotNull())
+
+    turns = let(pieces(F.col("chat")), lambda x: F.slice(x, 1, F.size(x) - 1))
+    return chats.withColumn("loss", let(turns, spans))
 
 
 def digest(chats: DataFrame) -> DataFrame:

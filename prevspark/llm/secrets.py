@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prevspark.llm.common import let, store
+from prevspark.llm.common import let, running, store
 
 #: Kind, pattern, group that is measured, its least characters.
 BASE = [
@@ -50,27 +50,6 @@ LETTERS = dict(zip(LOWER, (
 FEW = 30.0
 #: Level of the battery below which a candidate is not random; false discovery rate; bins of the histogram per halving of p.
 LEVEL, RATE, BINS, LAST_BIN = 1e-2, 0.05, 8, 4096
-#: Entries that a running sum adds up at a time.
-STRIDE = 64
-
-
-def running(values: Column) -> Column:
-    """Sums of an array's entries up to each place; in time near its length, as sums start anew from every block."""
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-
-    def sums(v: Column) -> Column:
-        blocks = F.sequence(F.lit(0), ((F.size(v) - 1) / STRIDE).cast("int"))
-        each = F.transform(blocks, lambda i: total(F.slice(v, i * STRIDE + 1, F.lit(STRIDE))))
-        bases = let(each, lambda e: F.transform(blocks, lambda i: total(F.slice(e, F.lit(1), i))))
-
-        def place(base: Column) -> Column:
-            block = lambda i: (i / STRIDE).cast("int")
-            inside = lambda i: total(F.slice(v, block(i) * STRIDE + 1, F.pmod(i, F.lit(STRIDE)) + 1))
-            return F.transform(v, lambda _, i: F.get(base, block(i)) + inside(i))
-
-        return F.when(F.size(v) > 0, let(bases, place)).otherwise(F.array().cast("array<bigint>"))
-
-    return let(values, sums)
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
