@@ -190,26 +190,29 @@ def signed(x: int) -> int:
 
 
 def near_links(prints: DataFrame, k: int = 4) -> DataFrame:
-    """(a, b) links of distinct fingerprints ``fp``: their components are those of all pairs within k bits."""
-    masks = key_masks(prints.count(), k)
+    """(kind, a, b) links of distinct (kind, fp): in each kind their components are those of all pairs within k bits."""
+    masks = key_masks(prints.groupBy("kind").count().agg(F.max("count")).first()[0] or 0, k)
     keys = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("v")) for i, m in enumerate(masks)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = []
 
         def links(done: bool) -> Iterator[pa.RecordBatch]:
-            c, v, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
-            new = np.r_[True, (c[1:] != c[:-1]) | (v[1:] != v[:-1])]
+            kind, c, v, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
+            new = np.r_[True, (kind[1:] != kind[:-1]) | (c[1:] != c[:-1]) | (v[1:] != v[:-1])]
             bucket = np.cumsum(new)
             cut = len(fp) if done else int(np.flatnonzero(new)[-1])  # the last bucket may go on
-            kept[:] = [] if done else [[c[cut:], v[cut:], fp[cut:]]]
-            if cut:
-                a, b = GrayIndex(bucket[:cut], fp[:cut].view(np.uint64)).forest(k)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            kept[:] = [] if done else [[kind[cut:], c[cut:], v[cut:], fp[cut:]]]
+            # a kind's buckets follow one another
+            edges = np.r_[0, np.flatnonzero(kind[1:cut] != kind[: max(0, cut - 1)]) + 1, cut] if cut else []
+            for first, end in zip(edges[:-1], edges[1:]):
+                a, b = GrayIndex(bucket[first:end], fp[first:end].view(np.uint64)).forest(k)
+                of = np.full(len(a), kind[first], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["kind", "a", "b"])
 
         fresh = 0
         for batch in batches:
-            kept.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
+            kept.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)])
             fresh += batch.num_rows
             if fresh >= GATHER:
                 yield from links(done=False)
@@ -217,9 +220,9 @@ def near_links(prints: DataFrame, k: int = 4) -> DataFrame:
         if kept:
             yield from links(done=True)
 
-    dealt = prints.select("fp", F.explode(keys).alias("key")).select("key.c", "key.v", "fp")
-    dealt = dealt.repartition("c", "v").sortWithinPartitions("c", "v")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    dealt = prints.select("kind", "fp", F.explode(keys).alias("key")).select("kind", "key.c", "key.v", "fp")
+    dealt = dealt.repartition("kind", "c", "v").sortWithinPartitions("kind", "c", "v")
+    return dealt.mapInArrow(run, "kind int, a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -250,17 +253,25 @@ def components(links: DataFrame) -> DataFrame:
 def grouped(prints: DataFrame, k: int) -> DataFrame:
     """(fp, root, component_id) of every distinct fingerprint of ``prints`` (doc_id, fp, fp1, ...).
 
-    Rows are linked if any of their fingerprints differ in at most ``k`` bits. Links by a further one are carried over to the
-    first: of each of its groups, all first fingerprints are linked to the least.
+    Rows are linked if any of their fingerprints differ in at most ``k`` bits. All kinds of fingerprints are searched at once;
+    a further one that is near another, or that rows with unlike first ones share, is a node that links these rows.
     """
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    links = near_links(distinct.select("fp"), k)
-    for name in [c for c in prints.columns if c not in ("doc_id", "fp")]:
-        pairs = store(prints.select("fp", F.col(name).alias("other")).distinct(), "other")
-        found = components(near_links(pairs.select(F.col("other").alias("fp")).distinct(), k))
-        named = pairs.join(found, F.col("other") == F.col("node"), "left").select("fp", F.coalesce("root", "other").alias("group"))
-        least = named.groupBy("group").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
-        links = links.unionByName(named.join(least, "group").where("fp <> a").select("a", F.col("fp").alias("b")))
+    first = distinct.select(F.lit(0).alias("kind"), "fp")
+    more = [c for c in prints.columns if c not in ("doc_id", "fp")]
+    if not more:
+        links = near_links(first, k).select("a", "b")
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(i + 1).alias("kind"), F.col(c).alias("other")) for i, c in enumerate(more)]))
+        held = prints.select("fp", each.alias("x")).select("fp", "x.kind", "x.other").distinct()
+        held = store(held, "kinds")
+        shared = store(held.groupBy("kind", "other").agg(F.min("fp").alias("low"), F.max("fp").alias("high")), "shared")
+        near = store(near_links(first.unionByName(shared.select("kind", F.col("other").alias("fp"))), k), "near")
+        node = lambda x: F.when(F.col("kind") == 0, F.col(x)).otherwise(F.xxhash64("kind", x))
+        ends = near.where("kind > 0").select("kind", F.explode(F.array("a", "b")).alias("other"))
+        wanted = ends.unionByName(shared.where("low < high").select("kind", "other")).distinct()
+        ties = held.join(wanted, ["kind", "other"]).select(F.col("fp").alias("a"), node("other").alias("b"))
+        links = near.select(node("a").alias("a"), node("b").alias("b")).unionByName(ties)
     found = components(links)
     named = distinct.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
