@@ -102,6 +102,10 @@ def prevalence_histogram(simulated: DataFrame, label: str, centers: DataFrame) -
     return seen.select("class", (F.col("seen") / total).alias("seen")).join(counts, "class", "left").select("class", F.coalesce("simulated", F.lit(0.0)).alias("simulated"), "seen")
 
 
+#: Digits after the point at which sums of doubles count as equal, whatever the order of their terms.
+EXACT = 12
+
+
 def inspected(results: DataFrame, by: list[str], metric: str) -> DataFrame:
     """(..., n, mean, rank): groups by their mean ``metric``, the best first."""
     from pyspark.sql import Window
