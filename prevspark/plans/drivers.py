@@ -107,11 +107,11 @@ EXACT = 12
 
 
 def inspected(results: DataFrame, by: list[str], metric: str) -> DataFrame:
-    """(..., n, mean, rank): groups by their mean ``metric``, the best first."""
+    """(..., n, mean, rank): groups by their mean ``metric``, the best first; means that are equal at EXACT digits go by ``by``."""
     from pyspark.sql import Window
 
     found = results.groupBy(*by).agg(F.count(metric).alias("n"), F.avg(metric).alias("mean"))
-    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.col("mean").asc_nulls_last(), *by)))
+    return found.withColumn("rank", F.row_number().over(Window.orderBy(F.round("mean", EXACT).asc_nulls_last(), *by)))
 
 
 #: What methods are called in tables, by the strategy that ends their name.

@@ -85,3 +85,14 @@ def test_best_of_ties(spark, tied):
     found = {r.bag: (r.method, r.ae and f"{r.ae:.6f}", r.n_failures) for r in catalog.argmin_per_group(spark, path).collect()}
     least = {bag: min((expected[bag, m], m) for m in "AN") for bag in range(40)}
     assert found == {bag: (m, ae, 0) for bag, (ae, m) in least.items()} | {40: ("A", None, 1)}
+
+
+def test_inspected_ties(spark, monkeypatch):
+    """Two methods of one mean, a tie at six digits, that doubles miss in one order of adding them up and not in another."""
+    half = [0.000001 * k for k in (51, 37, 53, 6, 32, 49, 17, 3)] + [0.1, 0.2, 0.3, 0.7] * 2
+    rows = [(i, m, x) for m, each in (("b", half), ("a", sorted(half, reverse=True))) for i, x in enumerate(each)]
+    frame = spark.createDataFrame(rows, "bag int, method string, ae double").coalesce(1)
+    monkeypatch.setattr(catalog, "results", lambda *_: frame)
+    exact = (sum(Decimal(f"{x:.6f}") for x in half) / 16).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+    found = {(r.method, r.n, f"{r['mean']:.6f}", r["rank"]) for r in catalog.inspected_results(spark, "").collect()}
+    assert found == {("a", 16, str(exact), 1), ("b", 16, str(exact), 2)}
