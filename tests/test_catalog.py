@@ -96,3 +96,9 @@ def test_inspected_ties(spark, monkeypatch):
     exact = (sum(Decimal(f"{x:.6f}") for x in half) / 16).quantize(Decimal("0.000001"), ROUND_HALF_UP)
     found = {(r.method, r.n, f"{r['mean']:.6f}", r["rank"]) for r in catalog.inspected_results(spark, "").collect()}
     assert found == {("a", 16, str(exact), 1), ("b", 16, str(exact), 2)}
+
+
+def test_pivot_of_ties(spark, tied):
+    path, expected = tied
+    found = {(r.bag, m): f"{r[m]:.6f}" for r in catalog.pivot_table(spark, path).collect() for m in "AN" if r[m] is not None}
+    assert found == expected
